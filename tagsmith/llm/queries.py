@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm import bpe, idfile, packing
+from tagsmith.llm import bpe, exact_dedup, idfile, line_dedup, packing
 
 
 def vocabulary() -> str:
@@ -36,5 +36,38 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_id_files, op5_packing)}
-ORACLES: dict[str, str] = {}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+  FROM documents),
+keyed AS (
+  SELECT doc_id, k, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+judged AS (
+  SELECT doc_id, k, line, first_doc IS NOT NULL AND first_doc <> doc_id AS gone FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
+    return groups.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
+
+
+OP10_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_id_files, op5_packing, op8_line_dedup, op10_exact_dedup)}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}

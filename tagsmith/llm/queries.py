@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, line_dedup, packing
+from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, jaccard, line_dedup, packing
 
 
 def vocabulary() -> str:
@@ -62,6 +62,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
     return groups.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
@@ -73,5 +77,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_id_files, op5_packing, op6_fingerprints, op8_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_id_files, op5_packing, op6_fingerprints, op8_line_dedup, op9_jaccard_join, op10_exact_dedup)}
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}

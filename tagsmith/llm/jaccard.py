@@ -16,6 +16,7 @@ A pair of similarity 0.8 shares no band with probability 3e-6, and is pruned wro
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,15 +33,16 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: MinHash values compared before each look at the posterior.
 STEPS = (16, 32, 64, 96)
+_WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The set of hashes of width consecutive words, sorted. Words are what stands between white space, as they are.
-    Fewer words make one shingle; no words none."""
-    words = (text or "").split()
+    """The set of hashes of width consecutive words, sorted. Words are runs of letters, digits and underscores, in
+    lower case. Fewer words make one shingle; no words none."""
+    words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))

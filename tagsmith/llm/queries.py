@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, jaccard, line_dedup, packing
+from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, jaccard, language, line_dedup, packing, quality
 
 
 def vocabulary() -> str:
@@ -27,6 +27,17 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs)).drop("text")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = idfile.write_ids(documents(spark, sf_dir), vocabulary())
     return idfile.read_ids(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -77,5 +88,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_id_files, op5_packing, op6_fingerprints, op8_line_dedup, op9_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_quality, op3_language, op4_id_files, op5_packing, op6_fingerprints, op8_line_dedup, op9_jaccard_join, op10_exact_dedup)}
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}

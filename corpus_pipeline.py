@@ -1,19 +1,53 @@
-"""documents to training sequences: STAGES names the stages, run() applies them."""
+"""documents to training sequences: STAGES names the stages, run() applies them.
+
+quality    documents that the classifier rejects go; it is fitted on the stage's own input
+lines      lines that an earlier document has go
+near       of near-duplicates, one document stays: the smallest doc_id
+pii        personal data is replaced
+packing    pieces of sequences of 1024 tokens: the last result
+
+A stage that alters texts sets n_chars anew. A document may become empty, and then stays as such; a null text goes in the
+first stage. lang, source and further columns go through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagsmith.llm import packing
+from tagsmith.llm import jaccard, line_dedup, packing, pii, quality
 from tagsmith.llm.common import fresh_dir
-from tagsmith.llm.queries import vocabulary
+from tagsmith.llm.queries import PII_KEY, vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _like_documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs).select(*COLUMNS)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _like_documents(line_dedup.dedup_lines(docs))
+
+
+def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.drop_near_duplicates(docs).select(*COLUMNS)
+
+
+def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _like_documents(pii.replace_pii(docs, PII_KEY))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality classifier", good), ("line dedup", fresh_lines), ("n-gram Jaccard join", distinct_enough), ("PII", anonymous), ("packing", packed)]
+#: Fitted models and keyed surrogates have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -338,3 +338,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, toler
         (alone | (F.col("row") == F.col("class_row"))).alias("kept"),
         F.col("n").alias("n_shingles"),
     )
+
+
+def drop_near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of df but one of each class of near-duplicates, with the columns of df. Rows are told by doc_id: rows
+    that share one stay or go together, and rows without one stay."""
+    dropped = near_duplicates(df, threshold, width, text=text, doc_id=doc_id).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept")
+    own = dropped.select(F.col("doc_id").alias("__dropped_id"))
+    return df.join(own, F.col(f"`{doc_id}`").cast("long") == F.col("__dropped_id"), "left_anti")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, jaccard, language, line_dedup, packing, quality
+from tagsmith.llm import bpe, exact_dedup, fingerprint, idfile, jaccard, language, line_dedup, packing, pii, quality
 
 
 def vocabulary() -> str:
@@ -51,6 +51,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
+#: Of the queries; a real run takes its own from where secrets are kept.
+PII_KEY = "queries"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -88,5 +96,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_quality, op3_language, op4_id_files, op5_packing, op6_fingerprints, op8_line_dedup, op9_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_quality, op3_language, op4_id_files, op5_packing, op6_fingerprints, op7_pii, op8_line_dedup, op9_jaccard_join, op10_exact_dedup)}
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}

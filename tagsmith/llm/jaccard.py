@@ -147,7 +147,7 @@ def _sigs(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """row, doc_id, n (shingles), d1 and d2 (digest of the set), sig."""
+    """row, doc_id, n (shingles), d1 and d2 (digest of the set; of the text, if it has no word), sig."""
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def sketches(df: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
             n, d1, d2, sig = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, width)
-                a, b = digest(s)
+                a, b = digest(s) if len(s) else _digest_of(b"no words:" + (t or "").encode("utf-8", "surrogatepass"))
                 n.append(len(s))
                 d1.append(a)
                 d2.append(b)
@@ -167,7 +167,11 @@ def sketches(df: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()), "<i8")
+    return _digest_of(s.astype("<u8").tobytes())
+
+
+def _digest_of(data: bytes) -> tuple[int, int]:
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(data), "<i8")
     return int(a), int(b)
 
 
@@ -307,15 +311,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, toler
     shingle) is the threshold at least. class_id is the smallest doc_id of all texts that links connect; copy_of the
     smallest doc_id with the same set; n_links counts the different sets that its own links with. In each class the row
     of the smallest doc_id is kept; rows without a doc_id come after all others, and of rows that tie one is kept. Texts
-    without a word (null, empty, blank) link with nothing and are each their own class. Other columns are left out. An
-    empty table gives no rows."""
+    without a word link with nothing, but equal ones are copies, null and empty among them. Other columns are left out.
+    An empty table gives no rows."""
     ship(df.sparkSession)
     limits = least_matches(threshold, tolerance)
     sk = sketches(df, width, text, doc_id)
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    reps = sk.filter("n > 0").groupBy("d1", "d2").agg(F.min(who).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = sk.groupBy("d1", "d2").agg(F.min(who).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = write_table(reps.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("rep_doc"), "d1", "d2", "n", "sig"), "representatives")
-    clusters = connected_components(candidate_edges(reps, limits, block)).withColumnsRenamed({"node": "rep", "root": "cluster"})
+    clusters = connected_components(candidate_edges(reps.filter("n > 0"), limits, block)).withColumnsRenamed({"node": "rep", "root": "cluster"})
     members = write_table(clusters.join(reps, "rep"), "clusters")
     loads = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n") / F.lit(block_bytes))).cast("int").alias("nb"))
     found = write_table(verified(df, members.join(loads, "cluster"), threshold, limits, width, text, doc_id), "links")
@@ -328,16 +332,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, toler
     best = F.struct(F.col("rep_doc").isNull().alias("none"), F.col("rep_doc"), F.col("rep"))
     heads = classes.groupBy("root").agg(F.min(best).alias("head"))
     classes = write_table(classes.join(heads, "root").select("rep", "rep_doc", "d1", "d2", "links", F.col("head.rep_doc").alias("class_doc"), F.col("head.rep").alias("class_row")), "classes")
-    rows = sk.select("row", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "rep_doc", "links", "class_doc", "class_row"), ["d1", "d2"], "left")
-    alone = F.col("n") == 0
-    return rows.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep_doc")).alias("copy_of"),
-        F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
-        (alone | (F.col("row") == F.col("class_row"))).alias("kept"),
-        F.col("n").alias("n_shingles"),
-    )
+    rows = sk.select("row", "doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "rep_doc", "links", "class_doc", "class_row"), ["d1", "d2"])
+    return rows.select("doc_id", F.col("class_doc").alias("class_id"), F.col("rep_doc").alias("copy_of"), F.col("links").cast("long").alias("n_links"), (F.col("row") == F.col("class_row")).alias("kept"), F.col("n").alias("n_shingles"))
 
 
 def drop_near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -32,17 +32,24 @@ def vocabulary(texts: DataFrame, mode: str) -> DataFrame:
 
 
 def mapped(texts: DataFrame, vocab: DataFrame, mode: str) -> DataFrame:
-    """Texts with their tokens, those outside of the vocabulary as UNKNOWN."""
+    """a and b (two hashes that stand for the text), w, items: its tokens, those outside of the vocabulary as UNKNOWN."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by number, as few bytes of text make many n-grams, and small partitions would be put together
+    named = texts.select(*_hashes(F.col("t")), "t", "w").repartition(n, "a", "b")
     try:
         known = sorted(r.token for r in bounded(vocab, LITERAL))
         inside = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-        return texts.withColumn("items", F.transform(tokenized(F.col("t"), mode), lambda x: F.when(F.array_contains(inside, x), x).otherwise(UNKNOWN)))
+        return named.select("a", "b", "w", F.transform(tokenized(F.col("t"), mode), lambda x: F.when(F.array_contains(inside, x), x).otherwise(UNKNOWN)).alias("items"))
     except TooLarge:
         pass
-    each = texts.select("t", F.posexplode(tokenized(F.col("t"), mode)).alias("i", "token"))
-    each = each.join(vocab.withColumn("in_", F.lit(True)), "token", "left").select("t", "i", F.when(F.col("in_"), F.col("token")).otherwise(UNKNOWN).alias("token"))
-    items = each.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("items"))
-    return texts.join(items, "t", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    each = named.select("a", "b", F.posexplode(tokenized(F.col("t"), mode)).alias("i", "token"))
+    each = each.join(vocab.withColumn("in_", F.lit(True)), "token", "left").select("a", "b", "i", F.when(F.col("in_"), F.col("token")).otherwise(UNKNOWN).alias("token"))
+    items = each.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("items"))
+    return named.drop("t").join(items, ["a", "b"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
 
 
 def ngram_counts(items: DataFrame, low: int, high: int) -> DataFrame:
@@ -50,11 +57,11 @@ def ngram_counts(items: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def perplexities(items: DataFrame, table: DataFrame, low: int, high: int) -> DataFrame:
-    """t, w, perplexity: the mean over a text's n-grams of 1 / (ln(count) + 1), or UNSEEN; null without n-grams."""
-    each = items.select("t", F.explode(ngrams(F.col("items"), low, high)).alias("gram")).groupBy("t", "gram").agg(F.count(F.lit(1)).alias("k"))
+    """a, b, w, perplexity: the mean over a text's n-grams of 1 / (ln(count) + 1), or UNSEEN; null without n-grams."""
+    each = items.select("a", "b", F.explode(ngrams(F.col("items"), low, high)).alias("gram")).groupBy("a", "b", "gram").agg(F.count(F.lit(1)).alias("k"))
     term = F.when(F.col("n").isNull(), UNSEEN).otherwise(1 / (F.ln("n") + 1))
-    mean = each.join(table, "gram", "left").groupBy("t").agg((F.sum(F.col("k") * term) / F.sum("k")).alias("perplexity"))
-    return items.select("t", "w").join(mean, "t", "left")
+    mean = each.join(table, "gram", "left").groupBy("a", "b").agg((F.sum(F.col("k") * term) / F.sum("k")).alias("perplexity"))
+    return items.select("a", "b", "w").join(mean, ["a", "b"], "left")
 
 
 class TextField(Generator):
@@ -98,9 +105,9 @@ class TextModel(GeneratorModel):
         return perplexities(mapped(texts, self.tables["vocabulary"], self.params["mode"]), self.tables["ngrams"], self.params["low"], self.params["high"])
 
     def attach(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
-        own = self.perplexities(df).select(F.col("t").alias(f"{tag}t"), F.col("perplexity").alias(f"{tag}p"))
-        text = F.coalesce(F.col(f"`{self.field}`").cast("string"), F.lit("None"))
-        df = df.join(own, text == F.col(f"{tag}t"), "left")
+        own = self.perplexities(df).select(F.col("a").alias(f"{tag}a"), F.col("b").alias(f"{tag}b"), F.col("perplexity").alias(f"{tag}p"))
+        a, b = _hashes(F.coalesce(F.col(f"`{self.field}`").cast("string"), F.lit("None")))
+        df = df.join(own, (a == F.col(f"{tag}a")) & (b == F.col(f"{tag}b")), "left")
         df = df.crossJoin(F.broadcast(self.tables["spread"].select(F.col("mean").alias(f"{tag}mean"), F.col("std").alias(f"{tag}std"))))  # one row
         return df, self.labelled(F.col(f"{tag}p"), F.col(f"{tag}mean"), F.col(f"{tag}std"))
 

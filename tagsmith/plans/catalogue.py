@@ -271,29 +271,31 @@ def regex_labels(spark, sf):
 
 
 def text_sql(source: str, field: str, mode: str, low: int = 3, high: int = 5) -> str:
+    """CTEs texts, vocab, grams (a row for each n-gram of each distinct text) and model (their counts)."""
     pattern = "(?s)." if mode == "char" else TOKEN
-    grams = " UNION ALL ".join(f"SELECT t, w, unnest(list_transform(range(1, len(p) - {n} + 1), lambda i: p[i:i + {n - 1}])) AS g FROM padded" for n in range(low, high + 1))
-    pad = lambda m: ", ".join([f"'{m}'"] * (low - 1))
+    ahead = ", ".join(f"lead(c, {k}) OVER (PARTITION BY id ORDER BY i) AS c{k}" for k in range(1, high + 1))
+    # an n-gram counts if yet another token follows it: the last of each order is left out
+    grams = " UNION ALL ".join(f"SELECT id, w, concat_ws(chr(1), c, {', '.join(f'c{k}' for k in range(1, n))}) AS g FROM runs WHERE c{n} IS NOT NULL" for n in range(low, high + 1))
+    marks = ", ".join(f"({k})" for k in range(1, low))
     return f"""
-texts AS (SELECT {field} AS t, count(*) AS w FROM {source} GROUP BY 1),
-toks AS (SELECT t, w, regexp_extract_all(t, '{pattern}') AS x FROM texts),
-vocab AS (SELECT tok FROM (SELECT w, unnest(x) AS tok FROM toks) GROUP BY tok HAVING sum(w) > 2),
-known AS (SELECT list(tok) AS v FROM vocab),
-padded AS (SELECT t, w, list_concat(list_concat([{pad("<s>")}], list_transform(x, lambda k: CASE WHEN list_contains(v, k) THEN k ELSE '<UNK>' END)), [{pad("</s>")}]) AS p FROM toks, known),
+texts AS (SELECT row_number() OVER () AS id, t, w FROM (SELECT {field} AS t, count(*) AS w FROM {source} GROUP BY 1)),
+lists AS (SELECT id, w, regexp_extract_all(t, '{pattern}') AS x FROM texts),
+toks AS (SELECT id, w, unnest(x) AS tok, generate_subscripts(x, 1) AS i FROM lists),
+vocab AS (SELECT tok FROM toks GROUP BY tok HAVING sum(w) > 2),
+runs AS (SELECT id, w, c, {ahead} FROM (
+  SELECT id, w, i, CASE WHEN v.tok IS NULL THEN '<UNK>' ELSE v.tok END AS c FROM toks LEFT JOIN vocab v USING (tok)
+  UNION ALL SELECT id, w, k - {low}, '<s>' FROM lists, (VALUES {marks}) m(k)
+  UNION ALL SELECT id, w, len(x) + k, '</s>' FROM lists, (VALUES {marks}) m(k))),
 grams AS ({grams}),
 model AS (SELECT g, CAST(sum(w) AS BIGINT) AS n FROM grams GROUP BY g)"""
 
 
 def perplexity_sql(source: str, field: str, mode: str) -> str:
     return text_sql(source, field, mode) + f""",
-perplexity AS (SELECT t, any_value(grams.w) AS w, avg(CASE WHEN n IS NULL THEN {tx_unseen()} ELSE 1 / (ln(n) + 1) END) AS p FROM grams LEFT JOIN model USING (g) GROUP BY t),
+perplexity AS (SELECT any_value(t) AS t, any_value(grams.w) AS w, avg(CASE WHEN n IS NULL THEN -ln(1e-8) ELSE 1 / (ln(n) + 1) END) AS p FROM grams LEFT JOIN model USING (g) JOIN texts USING (id) GROUP BY id),
 spread AS (SELECT sum(w * p) / sum(w) AS m, sqrt(sum(w * (p - m) * (p - m)) / sum(w)) AS s FROM (SELECT *, (SELECT sum(w * p) / sum(w) FROM perplexity) AS m FROM perplexity))"""
 
 
-def tx_unseen() -> str:
-    return "-ln(1e-8)"
-
-
 def text_labels_sql(source: str, field: str, mode: str, key: str) -> str:
     name = field.upper()
     return f"""WITH {perplexity_sql(source, field, mode)}
@@ -311,7 +313,7 @@ def text_vocab(spark, sf):
     return text_vocabulary(texts_of(table(spark, sf, "documents"), "text", None), "char").select(F.col("token").alias("tok"))
 
 
-@query(f"WITH {text_sql('documents', 'text', 'char')} SELECT array_to_string(g, chr(1)) AS gram, n FROM model")
+@query(f"WITH {text_sql('documents', 'text', 'char')} SELECT g AS gram, n FROM model")
 def text_ngram_counts(spark, sf):
     texts = texts_of(table(spark, sf, "documents"), "text", None)
     return ngram_counts(mapped(texts, text_vocabulary(texts, "char"), "char"), 3, 5).select("gram", "n")
@@ -321,8 +323,8 @@ def text_ngram_counts(spark, sf):
 def text_perplexity(spark, sf):
     p = table(spark, sf, "part")
     model = TextField("p_name").fit(p)
-    own = model.perplexities(p)
-    return rounded(p.join(own, p.p_name == own.t).crossJoin(F.broadcast(model.tables["spread"])).select("p_partkey", "perplexity", "mean", "std"))
+    own = labelled(p, {"g": model}).withColumn("perplexity", F.element_at("bonus", 1) / 10)
+    return rounded(own.crossJoin(F.broadcast(model.tables["spread"])).select("p_partkey", "perplexity", "mean", "std"))
 
 
 @query(text_labels_sql("documents", "text", "char", "doc_id"))

@@ -205,7 +205,8 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
         dealt = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
     else:
         dealt = dealt.withColumn("ghost", F.lit(False))
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    # each range has a task of its own: by a hash of the part, some tasks would get several
+    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_edited", pa.int64()), ("common_next", pa.int64())]
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagsmith.llm.common import ship, slices, write_table
+from tagsmith.llm.common import free_name, ship, slices, write_table
 from tagsmith.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -340,5 +340,5 @@ def drop_near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5,
     """The rows of df but one of each class of near-duplicates, with the columns of df. Rows are told by doc_id: rows
     that share one stay or go together, and rows without one stay."""
     dropped = near_duplicates(df, threshold, width, text=text, doc_id=doc_id).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept")
-    own = dropped.select(F.col("doc_id").alias("__dropped_id"))
-    return df.join(own, F.col(f"`{doc_id}`").cast("long") == F.col("__dropped_id"), "left_anti")
+    name = free_name(df, "dropped")
+    return df.join(dropped.select(F.col("doc_id").alias(name)), F.col(f"`{doc_id}`").cast("long") == F.col(name), "left_anti")

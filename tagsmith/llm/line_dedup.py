@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagsmith.llm.common import ship, slices, write_table
+from tagsmith.llm.common import free_name, ship, slices, write_table
 from tagsmith.llm.cuckoo import CuckooFilter, Full
 
 #: White space that is stripped from a key; a fixed value.
@@ -151,9 +151,11 @@ class LineIndex:
             return rows.filter(pa.array(f.contains(h1, h2))).select(["doc_id", "h1", "h2"])
 
         # a shard with many rows, as that of a very frequent line, is dealt to several tasks with a copy of its filter each
-        load = self.counts.groupBy(self._shard().alias("shard")).agg(F.ceil(F.sum("n_docs") / F.lit(500_000)).cast("int").alias("parts"))
-        filters = self.filters.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = postings.withColumn("shard", self._shard()).join(F.broadcast(load), "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        load = write_table(self.counts.groupBy(self._shard().alias("shard")).agg(F.ceil(F.sum("n_docs") / F.lit(500_000)).cast("int").alias("parts")), "line-loads")
+        spread = load.select(F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        filters = self.filters.join(spread, F.col("shard") == F.col("s")).select("shard", "part", "filter")
+        parts = load.select(F.col("shard").alias("s"), F.col("parts").alias("k"))  # a row for each shard
+        dealt = postings.withColumn("shard", self._shard()).join(F.broadcast(parts), F.col("shard") == F.col("s")).select("doc_id", "h1", "h2", "shard", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("part"))
         return filters.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(probe_shard, schema)
 
     def drops(self) -> DataFrame:
@@ -167,7 +169,7 @@ class LineIndex:
         n_lines (before dropping) and n_dropped are added, replacing columns of those names. A null text stays null, with
         one line. Rows without a doc_id stay as they are."""
         names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-        mark, own = "__drops", "__doc"
+        mark, own = free_name(docs, "drops"), free_name(docs, "doc")
         drops = self.drops().select(F.col("doc_id").alias(own), F.col("drops").alias(mark))
         rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(drops, F.col(f"`{doc_id}`").cast("long") == F.col(own), "left").drop(own)
         keep = [f for f in docs.schema.fields if f.name in names]

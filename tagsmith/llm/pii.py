@@ -228,7 +228,9 @@ def resolve(units_: DataFrame, key: str, tries: int = 40) -> DataFrame:
     """kind, norm, surrogate of those units whose first surrogate doesn't do: another unit has it too (one of them may
     keep it), it is itself a unit of that kind, or no number of its kind can be so. Raises ValueError if some unit has none after all tries."""
     fold = F.lower  # surrogates are compared as units are
-    todo = units_.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.lit(key)))
+    # dealt by number from a table, as a unit is few bytes and much work, and small partitions would be put together
+    n = int(units_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo = write_table(units_, "units").repartition(n, "kind", "norm").withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.lit(key)))
     todo, settled, overrides = write_table(todo.filter(~F.col("kind").startswith("initial")), "surrogates"), None, None
     everything = todo.select("kind", F.col("norm").alias("other"))
     for attempt in range(tries):

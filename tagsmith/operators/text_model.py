@@ -19,6 +19,8 @@ from tagsmith.sources.store import TooLarge, bounded, kept
 UNSEEN, RARE = -math.log(1e-8), 2
 #: Tokens up to which the vocabulary is a literal of the plan.
 LITERAL = 2000
+#: Bytes up to which the table of n-grams is sent to all tasks.
+BROADCAST = 128 << 20
 
 
 def texts_of(df: DataFrame, field: str, weight: str | None) -> DataFrame:
@@ -58,9 +60,14 @@ def ngram_counts(items: DataFrame, low: int, high: int) -> DataFrame:
 
 def perplexities(items: DataFrame, table: DataFrame, low: int, high: int) -> DataFrame:
     """a, b, w, perplexity: the mean over a text's n-grams of 1 / (ln(count) + 1), or UNSEEN; null without n-grams."""
-    each = items.select("a", "b", F.explode(ngrams(F.col("items"), low, high)).alias("gram")).groupBy("a", "b", "gram").agg(F.count(F.lit(1)).alias("k"))
     term = F.when(F.col("n").isNull(), UNSEEN).otherwise(1 / (F.ln("n") + 1))
-    mean = each.join(table, "gram", "left").groupBy("a", "b").agg((F.sum(F.col("k") * term) / F.sum("k")).alias("perplexity"))
+    each = items.select("a", "b", F.explode(ngrams(F.col("items"), low, high)).alias("gram"))
+    size = table.agg(F.sum(F.octet_length("gram") + 32)).first()[0] or 0
+    if size <= BROADCAST:  # then n-grams are looked up where their text is, and only sums move
+        mean = each.join(F.broadcast(table), "gram", "left").groupBy("a", "b").agg(F.avg(term).alias("perplexity"))
+    else:
+        counted = each.groupBy("a", "b", "gram").agg(F.count(F.lit(1)).alias("k"))
+        mean = counted.join(table, "gram", "left").groupBy("a", "b").agg((F.sum(F.col("k") * term) / F.sum("k")).alias("perplexity"))
     return items.select("a", "b", "w").join(mean, ["a", "b"], "left")
 
 

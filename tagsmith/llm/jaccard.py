@@ -304,7 +304,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-7, block: int = 1024, block_bytes: int = 32 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-7, block: int = 512, block_bytes: int = 16 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of df: doc_id, class_id, copy_of, n_links, kept, n_shingles.
 
     Two texts link if the Jaccard similarity of their sets of shingles (width consecutive words; fewer words are one

@@ -165,16 +165,17 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 1500, penalty: float
     """Weights and offset of a logistic model of soft labels, by mini-batch gradient steps with adaptive sizes; columns
     are scaled to unit deviation meanwhile."""
     scale = 1 / (x.std(0) + 0.05)
-    w, b, rng = np.zeros(x.shape[1]), 0.0, np.random.default_rng(seed)
-    square, square_b = np.full(x.shape[1], 1e-8), 1e-8
+    x, y = (x * scale).astype(np.float32), y.astype(np.float32)
+    w, b, rng = np.zeros(x.shape[1], np.float32), np.float32(0), np.random.default_rng(seed)
+    square, square_b = np.full(x.shape[1], 1e-8, np.float32), np.float32(1e-8)
     for _ in range(rounds):
         at = rng.integers(0, len(x), 256)
-        z = x[at] * scale
+        z = x[at]
         g = 1 / (1 + np.exp(-np.clip(z @ w + b, -50, 50))) - y[at]
         grad, grad_b = z.T @ g / len(at) + penalty * w, g.mean()
         square, square_b = square + grad**2, square_b + grad_b**2
-        w -= 0.05 * grad / np.sqrt(square)
-        b -= 0.05 * grad_b / np.sqrt(square_b)
+        w -= np.float32(0.05) * grad / np.sqrt(square)
+        b -= np.float32(0.05 * grad_b / np.sqrt(square_b))
     return (w * scale).astype(np.float32), float(b)
 
 

@@ -17,8 +17,16 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+#: Limits of an Arrow batch, which both sides hold whole: Spark's own are for short rows, texts are long.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark application."""
+    """Send this package to the executors, once per Spark application, and keep Arrow batches small, unless the session
+    has limits of its own."""
+    for name, limit in _BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, limit)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -42,8 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tagsmith-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables and files of this application, when its results have been written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

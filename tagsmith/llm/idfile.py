@@ -168,6 +168,8 @@ def write_ids(df: DataFrame, path: str, where: str | None = None, text: str = "t
         if writer is not None:
             writer.close()
             sink.close()
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier try; not all stores replace files
+                fs.delete_file(final)
             fs.move(trial, final)
             yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{where}/ids-{part:06d}.tsid"], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]}, schema=_MANIFEST)
 

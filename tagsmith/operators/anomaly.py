@@ -273,7 +273,8 @@ CLASSIFIERS = {
 
 class SupervisedClassifierAnomaly(Scorer):
     """classifier: its name, with or without the module. Truth {clean, bad} or {0, 1} gives the probability of bad; any
-    other truth gives the predicted value in the column predicted, and as the score its index in sorted order."""
+    other truth gives the predicted value in the column predicted, and as the score its index in sorted order. Classifiers
+    don't continue: with a base, too, fit() learns from the rows that it is given."""
 
     def __init__(self, ground_truth_column: str, classifier: str, **arguments):
         self.truth, self.name = ground_truth_column, classifier.rpartition(".")[2]

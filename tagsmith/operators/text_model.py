@@ -90,11 +90,12 @@ class TextField(Generator):
         if base is not None:
             table = table.unionByName(base.tables["ngrams"]).groupBy("gram").agg(F.sum("n").alias("n"))
         table = kept(table, "ngrams")
-        own = perplexities(items, table, p["low"], p["high"]).filter("perplexity IS NOT NULL")
+        known = kept(perplexities(items, table, p["low"], p["high"]), "perplexities")
+        own = known.filter("perplexity IS NOT NULL")
         mean = own.agg((F.sum(F.col("w") * F.col("perplexity")) / F.sum("w")).alias("mean"))
         square = F.sum(F.col("w") * F.pow(F.col("perplexity") - F.col("mean"), 2))
         spread = own.crossJoin(F.broadcast(mean)).agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(square, F.sum("w"))).alias("std"))  # one row
-        return TextModel(p, {"vocabulary": vocab, "ngrams": table, "spread": kept(spread, "spread")})
+        return TextModel(p, {"vocabulary": vocab, "ngrams": table, "spread": kept(spread, "spread"), "known": known.select("a", "b", "perplexity")})
 
 
 class TextModel(GeneratorModel):
@@ -108,8 +109,12 @@ class TextModel(GeneratorModel):
         raise TypeError("a text model continues by fitting on new rows with this one as the base")
 
     def perplexities(self, df: DataFrame) -> DataFrame:
-        texts = texts_of(df, self.field, None)
-        return perplexities(mapped(texts, self.tables["vocabulary"], self.params["mode"]), self.tables["ngrams"], self.params["low"], self.params["high"])
+        """a, b and perplexity of all texts of df, and of those that the model was fitted on, which aren't looked at anew."""
+        known = self.tables["known"]
+        a, b = _hashes(F.col("t"))
+        new = texts_of(df, self.field, None).join(known, (a == known.a) & (b == known.b), "left_anti")
+        found = perplexities(mapped(new, self.tables["vocabulary"], self.params["mode"]), self.tables["ngrams"], self.params["low"], self.params["high"])
+        return known.unionByName(found.select("a", "b", "perplexity"))
 
     def attach(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
         own = self.perplexities(df).select(F.col("a").alias(f"{tag}a"), F.col("b").alias(f"{tag}b"), F.col("perplexity").alias(f"{tag}p"))

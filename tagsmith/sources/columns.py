@@ -1,4 +1,4 @@
-"""A table's columns as the reference API has them: statistics, values, assignment. Each is one lazy plan or one small job."""
+"""A table's columns one at a time: statistics, values, assignment. Each is one lazy plan or one small job."""
 
 from __future__ import annotations
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import json
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,20 @@ def literal(text: str):
         return ast.literal_eval(text)
     except (ValueError, SyntaxError):
         return text
+
+
+def dict_to_text(data: dict) -> str | None:
+    """JSON; None, with a word in the log, if it has no such form."""
+    try:
+        return json.dumps(data)
+    except (TypeError, ValueError):
+        logging.getLogger(__name__).exception("no JSON")
+        return None
+
+
+def text_to_dict(text: str) -> dict | None:
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError):
+        logging.getLogger(__name__).exception("no JSON")
+        return None

@@ -78,6 +78,42 @@ def write_table(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def hashed(text: Column) -> Column:
+    """A hash of a text, 0 to 2^63 - 1; texts are sampled by it, so that copies count once."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
+
+
+def quotas(sizes: dict[str, int], n: int, even: float) -> dict[str, int]:
+    """How many to take from each stratum, n in all, or everything if there is no more: the share `even` of n is dealt
+    evenly (one each at least, if they aren't more than n), the rest by size."""
+    if sum(sizes.values()) <= n:
+        return dict(sizes)
+    least = max(1, int(even * n) // len(sizes)) if len(sizes) <= n else 0
+    out = {k: min(c, least) for k, c in sizes.items()}
+    rest, left = n - sum(out.values()), sum(sizes.values()) - sum(out.values())
+    exact = {k: (sizes[k] - out[k]) * rest / left for k in sizes}
+    out = {k: out[k] + int(exact[k]) for k in sizes}
+    for k in sorted(sizes, key=lambda k: (int(exact[k]) - exact[k], k))[: n - sum(out.values())]:
+        out[k] += out[k] < sizes[k]
+    return out
+
+
+def smallest_hashes(table: DataFrame, n: int, even: float) -> list[tuple[str, int]]:
+    """table: stratum and h (as of hashed), distinct. For each stratum its smallest hashes, as many as its quota; n in
+    all. Of more than n strata the largest n have a part."""
+    sizes = {r.stratum: r[1] for r in table.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(n).collect()}
+    own = quotas(sizes, n, even)
+    if not own:
+        return []
+    # hashes are uniform: below these bounds there are enough, and not many more
+    bounds = [(k, min((1 << 63) - 1, int((1.5 * q + 50) / sizes[k] * (1 << 63)))) for k, q in own.items()]
+    near = table.join(F.broadcast(table.sparkSession.createDataFrame(bounds, "stratum string, bound long")), "stratum").filter("h <= bound").select("stratum", "h").collect()
+    of: dict[str, list[int]] = {}
+    for k, h in near:
+        of.setdefault(k, []).append(h)
+    return [(k, h) for k in sorted(of) for h in sorted(of[k])[: own[k]]]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have yet, whatever its case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagsmith.llm.common import ship, slices
+from tagsmith.llm.common import hashed, ship, slices, smallest_hashes, write_table
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -103,35 +103,37 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
 
 
 def fit(df: DataFrame, sample_docs: int = 3000, cuts: int = 2, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", reject_error: float = 0.01) -> LanguageModel:
-    """Learn from at most sample_docs rows that have a text with letters, a lang, and an id that isn't held out; cuts is
-    the number of short cuts from each. One in five of them is for calibration: the temperature makes their likelihood
+    """Learn from at most sample_docs distinct texts with letters, a lang, and an id that isn't held out; cuts is
+    the number of short cuts from each. They are those with the smallest hashes in the whole table, for each language:
+    half of them dealt evenly, half by the languages' sizes. One in five of them is for calibration: the temperature makes their likelihood
     largest, and reject_below is the lowest score over which at most reject_error of them are wrong."""
     ship(df.sparkSession)
-    usable = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{doc_id}`").alias("doc_id")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.select("lang").count()
-    share = min(1.0, 1.5 * sample_docs / max(1, n))
+    usable = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{doc_id}`").alias("doc_id")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", F.col("lang").alias("stratum"), hashed(F.col("text")).alias("h"))
+    picked = smallest_hashes(write_table(usable.select("stratum", "h").distinct(), "languages"), sample_docs, 0.5)
+    chosen = df.sparkSession.createDataFrame(picked, "stratum string, h long")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for t, label in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for t, label, h in zip(*(batch.column(c).to_pylist() for c in ("text", "stratum", "h")), strict=True):
                 rng = np.random.default_rng(len(t))
                 parts = [t, *(t[s : s + int(rng.integers(8, 120))] for s in rng.integers(0, max(1, len(t) - 8), cuts))]
                 for k, part in enumerate(parts):
                     at = ngrams(part)
                     if len(at):
                         b, c = np.unique(at, return_counts=True)
-                        out.append((label, k, b.astype("<u2").tobytes(), (c / len(at)).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "k", "at", "share"])
+                        out.append((label, h, k, b.astype("<u2").tobytes(), (c / len(at)).astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "k", "at", "share"])
 
-    mixed = F.xxhash64("text")
-    found = usable.filter(F.pmod(mixed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_docs).mapInArrow(featured, "lang string, k long, at binary, share binary").limit((1 + cuts) * sample_docs).collect()
+    found = usable.join(F.broadcast(chosen), ["stratum", "h"]).dropDuplicates(["stratum", "h"]).select("text", "stratum", "h").mapInArrow(featured, "lang string, h long, k long, at binary, share binary").collect()
+    found.sort(key=lambda r: (r.h, r.lang, r.k))
     languages = sorted({r.lang for r in found})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     rows = [(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.share, "<f4")) for r in found]
     labels = np.array([languages.index(r.lang) for r in found])
-    test = np.arange(len(rows)) // (1 + cuts) % 5 == 4
+    number = {own: i for i, own in enumerate(dict.fromkeys((r.h, r.lang) for r in found))}
+    test = np.array([number[r.h, r.lang] % 5 == 4 for r in found])  # a text and its cuts are on one side
     own = [r for r, t in zip(rows, test, strict=True) if not t]
     logits, offset = train(own or rows, labels[~test] if own else labels, len(languages))
     model = LanguageModel(languages, logits, offset)

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from conftest import DATA
 from tagsmith.llm import fingerprint, language, pii, quality
+from tagsmith.llm.common import quotas
 from tagsmith.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.01"
@@ -87,6 +88,29 @@ def test_languages_of_awkward_rows(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
+def test_languages_of_a_table_in_order_are_all_learned(spark):
+    def word(rng, letters):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+
+    rng = random.Random(4)
+    kinds = [("aa", "abcde", 900), ("bb", "fghij", 3600), ("cc", "klmno", 600), ("dd", "pqrst", 890), ("ee", "uvwxyz", 10)]
+    texts = [(lang, " ".join(word(rng, letters) for _ in range(8))) for lang, letters, n in kinds for _ in range(n)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)] + [(i, texts[0][1], "aa") for i in range(6000, 6500)]
+    for order in (rows, rows[::-1]):  # partitions hold a language each
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").coalesce(4)
+        model = language.fit(docs, 300)
+        assert model.languages == ["aa", "bb", "cc", "dd", "ee"]
+        got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+        assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_quotas_fill_the_sample():
+    assert quotas({"a": 3, "b": 4}, 10, 0.5) == {"a": 3, "b": 4}
+    for sizes in ({"a": 10_000, "b": 5, "c": 300}, {str(i): i + 1 for i in range(90)}, {str(i): 7 for i in range(250)}):
+        got = quotas(sizes, 100, 0.5)
+        assert sum(got.values()) == 100 and all(0 <= got[k] <= sizes[k] for k in sizes) and (len(sizes) > 100 or min(got.values()) >= 1)
+
+
 # --- fingerprints
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagsmith.llm.common import free_name, ship, slices
+from tagsmith.llm.common import free_name, hashed, ship, slices, smallest_hashes, write_table
 
 GOOD, BAD, SILENT = 1, 0, 2
 #: Buckets of byte trigrams, and all.
@@ -197,17 +197,19 @@ class QualityModel:
 
 
 def fit(df: DataFrame, sample_docs: int = 4000, text: str = "text") -> QualityModel:
-    """Votes of all documents; the scorer from at most sample_docs of them, the same for the same texts. Texts without a
-    word, null or not, take no part. An empty table gives a model that keeps every text with a word."""
+    """Votes of all documents; the scorer from at most sample_docs distinct texts, the same for the same texts: those
+    with the smallest hashes in the whole table, for each joint vote; a quarter of them is dealt evenly, the rest by the
+    votes' numbers of texts. Texts without a word, null or not, take no part. An empty table gives a model that keeps every text with a word."""
     ship(df.sparkSession)
-    body = df.select(F.col(f"`{text}`").alias("text"))
+    body = df.select(F.col(f"`{text}`").alias("text"), hashed(F.col(f"`{text}`")).alias("h"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [Measures.of(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, m.votes())) for m in found if m.words], pa.string())], ["votes"])
+            found = [(m.votes(), h) for m, h in ((Measures.of(t), h) for t, h in zip(*(batch.column(c).to_pylist() for c in ("text", "h")), strict=True)) if m.words]
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, v)) for v, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64())], ["votes", "h"])
 
-    patterns = body.mapInArrow(vote, "votes string").groupBy("votes").count().collect()  # 3 to the number of labellers at most
+    voted = write_table(body.mapInArrow(vote, "votes string, h long").groupBy("votes", "h").agg(F.count("*").alias("n")), "votes")
+    patterns = voted.groupBy("votes").agg(F.sum("n")).collect()  # 3 to the number of labellers at most
     if not patterns:
         return QualityModel(np.zeros(DIMENSIONS, np.float32), 1.0, {}, {}, 1.0)
     votes, counts = np.array([[int(v) for v in r.votes] for r in patterns]), np.array([r[1] for r in patterns], np.float64)
@@ -216,19 +218,19 @@ def fit(df: DataFrame, sample_docs: int = 4000, text: str = "text") -> QualityMo
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            y, x = [], []
-            for t in batch.column("text").to_pylist():
+            own, y, x = [], [], []
+            for t, h in zip(*(batch.column(c).to_pylist() for c in ("text", "h")), strict=True):
                 m = Measures.of(t)
                 if m.words:
                     dense = np.zeros(DIMENSIONS, np.float32)
                     np.add.at(dense, *m.features())
+                    own.append(h)
                     y.append(of["".join(map(str, m.votes()))])
                     x.append(dense.astype("<f2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(x, pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(y, pa.float64()), pa.array(x, pa.binary())], ["h", "y", "x"])
 
-    order = F.xxhash64("text")
-    share = min(1.0, 1.5 * sample_docs / counts.sum())
-    picked = body.filter(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).mapInArrow(featured, "y double, x binary").limit(sample_docs).collect()
+    chosen = df.sparkSession.createDataFrame([(h,) for _, h in smallest_hashes(voted.select(F.col("votes").alias("stratum"), "h"), sample_docs, 0.25)], "h long")
+    picked = sorted(body.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text", "h").mapInArrow(featured, "h long, y double, x binary").collect())
     x, y = np.stack([np.frombuffer(r.x, "<f2") for r in picked]).astype(np.float32), np.array([r.y for r in picked])
     weights, offset = fit_linear(x, y)
     return QualityModel(weights, offset, of, {f"{k}:{s[0]}": float(a) for k, (s, a) in enumerate(zip(LABELLERS, right, strict=True))}, prior)

@@ -59,6 +59,22 @@ def test_quality_of_awkward_rows(spark):
     assert quality.keep_good(empty).count() == 0 and quality.keep_good(frame(spark, rows)).columns == empty.columns
 
 
+def test_quality_learns_from_the_whole_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_linear", lambda x, y: (seen.append((x, y)), (np.zeros(quality.DIMENSIONS, np.float32), 0.0))[1])
+    rng = random.Random(6)
+    words = "the of and to in a house hill river garden was built for family town".split()
+    prose = [" ".join(rng.choice(words) for _ in range(12)) + f" no {i}." for i in range(4000)]
+    junk = ["$$ ## || @@ " * 8 + f"%% {i}" for i in range(60)]  # the last rows alone
+    rows = [(i, t) for i, t in enumerate(prose + [prose[0]] * 500 + junk)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(4), 400)
+    [(x, y)] = seen
+    bad = "".join(map(str, quality.Measures.of(junk[0]).votes()))
+    assert len(x) == 400 and len(np.unique(x, axis=0)) > 380 and (np.abs(y - model.patterns[bad]) < 1e-9).sum() >= 5
+    quality.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(3), 400)
+    assert np.array_equal(seen[0][0], seen[1][0]) and seen[1][1] == pytest.approx(y, abs=1e-6)
+
+
 # --- language
 
 

@@ -7,7 +7,9 @@ depends on a key, its kind and its normal form alone. So the same entity has the
 written, and a surname the same with and without a given name. Surrogates keep the format: separators, case, lengths,
 country code, check digit; names keep gender and script.
 
-Numbers go through a keyed permutation of their digits, so different ones stay different. Other kinds could meet; a
+Numbers go through a keyed permutation of their digits and initials through one of their alphabet, so different ones stay
+different (an initial's surrogate may be another's own, as an alphabet has no other letters). A full stop after a name
+isn't part of it and stays. Other kinds could meet; a
 check over the distinct units of the whole corpus finds every surrogate that two units share, or that is itself a unit of
 the corpus, and gives all but one another try, until none is left. Only units that needed one are joined back, by the text
 that they stand in; all others are made in place, so texts aren't shuffled for them.
@@ -15,6 +17,10 @@ that they stand in; all others are made in place, so texts aren't shuffled for t
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +106,11 @@ def _name_kind(words: Column, i: Column) -> Column:
     return F.when(i == F.size(words) - 1, family).when(word.rlike(r"^\p{Lu}\.?$"), F.concat(F.lit("initial-"), script)).otherwise(F.concat(F.lit("given-"), script, F.lit("-"), gender))
 
 
+def _name_norm(words: Column, i: Column) -> Column:
+    bare = F.regexp_replace(F.element_at(words, i + 1), r"\.$", "")
+    return F.when(_name_kind(words, i).startswith("initial"), bare).otherwise(F.lower(bare))
+
+
 def entities(text: Column) -> Column:
     """The candidates of a text with their kinds and units: structs of entity, kind and units (structs of kind and norm)."""
     kinds = F.transform(found(text), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
@@ -109,7 +120,7 @@ def entities(text: Column) -> Column:
 def _units(entity: Column, kind: Column) -> Column:
     unit = lambda k, n: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), n.alias("norm"))
     words = F.split(entity, " ")
-    names = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: unit(_name_kind(words, i), F.lower(F.element_at(words, i + 1))))
+    names = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: unit(_name_kind(words, i), _name_norm(words, i)))
     return (
         F.when(kind == "email", F.array(unit("local", F.lower(F.substring_index(entity, "@", 1))), unit("domain", F.lower(F.substring_index(entity, "@", -1)))))
         .when(kind.isin(*_DIGITS), F.array(unit(kind, _digits(entity))))
@@ -182,8 +193,32 @@ def _name(pool: Column, given: Column, attempt: Column, *seed: Column) -> Column
     return F.when(given & (attempt == 0), pick(names, F.lit("p"))).otherwise(made)
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: Column) -> Column:
+#: Letters that initials have in practice; others go by script and block.
+_ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
+def _capitals() -> list[str]:
+    groups: dict = {c: a for a in _ALPHABETS for c in a}
+    out: dict = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if unicodedata.category(c) == "Lu":
+            out.setdefault(groups.get(c, (unicodedata.name(c).split()[0], ord(c) >> 7)), []).append(c)
+    alone = [k for k, v in out.items() if len(v) == 1]
+    return ["".join(v) for k, v in out.items() if k not in alone] + ["".join(out[k][0] for k in alone)]
+
+
+_CAPITALS = _capitals()
+
+
+def permuted_capitals(key: str) -> tuple[str, str]:
+    """All capital letters, and each one's surrogate: the next in its alphabet in a keyed order, so none stays."""
+    old = ["".join(sorted(a, key=lambda c: hashlib.sha256(f"{key}\x1finitial\x1f{c}".encode()).digest())) for a in _CAPITALS]
+    return "".join(old), "".join(a[1:] + a[:1] for a in old)
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, secret: str) -> Column:
     """The surrogate of a unit, in normal form (names begin with a capital)."""
+    key = F.lit(secret)
     seed = (key, kind, attempt)
     free = lambda keep: F.substring(norm, keep + 1, F.length(norm))
     country = F.greatest(F.length(norm) - 10, F.lit(0))
@@ -201,7 +236,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: Column) -> Colum
     out = out.when(kind == "secret", _same_shape(norm, True, *seed, norm))
     named = kind.rlike("^(given|family)-")
     out = out.when(named, _name(F.regexp_replace(kind, "^[a-z]+-", ""), kind.startswith("given"), attempt, key, kind, norm))
-    return out.otherwise(F.upper(_same_shape(norm, False, *seed, norm)))
+    return out.otherwise(F.translate(norm, *permuted_capitals(secret)))
 
 
 def rendered(entity: Column, kind: Column, new: Column) -> Column:
@@ -214,7 +249,7 @@ def rendered(entity: Column, kind: Column, new: Column) -> Column:
         return F.struct((s["i"] + digit.cast("int")).alias("i"), F.concat(s["out"], F.when(digit, F.substring(first, s["i"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
     number = F.aggregate(F.split(entity, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda s: s["out"])
-    person = F.concat_ws(" ", F.element_at(words, F.lit(1)), F.zip_with(F.slice(words, F.lit(2), F.size(words)), new, lambda w, x: cased(x, w)))
+    person = F.concat_ws(" ", F.element_at(words, F.lit(1)), F.zip_with(F.slice(words, F.lit(2), F.size(words)), new, lambda w, x: F.concat(cased(x, F.regexp_replace(w, r"\.$", "")), F.regexp_extract(w, r"\.$", 0))))
     out = F.when(kind == "email", cased(F.concat_ws("@", new), entity)).when(kind.isin(*_DIGITS), number)
     return out.when(kind.isin("ip", "secret"), first).when(kind == "person", person).otherwise(entity)
 
@@ -230,7 +265,7 @@ def resolve(units_: DataFrame, key: str, tries: int = 40) -> DataFrame:
     fold = F.lower  # surrogates are compared as units are
     # dealt by number from a table, as a unit is few bytes and much work, and small partitions would be put together
     n = int(units_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = write_table(units_, "units").repartition(n, "kind", "norm").withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.lit(key)))
+    todo = write_table(units_, "units").repartition(n, "kind", "norm").withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
     todo, settled, overrides = write_table(todo.filter(~F.col("kind").startswith("initial")), "surrogates"), None, None
     everything = todo.select("kind", F.col("norm").alias("other"))
     for attempt in range(tries):
@@ -251,7 +286,7 @@ def resolve(units_: DataFrame, key: str, tries: int = 40) -> DataFrame:
         if bad.isEmpty():
             return overrides if overrides is not None else judged.limit(0).select("kind", "norm", F.col("s").alias("surrogate"))
         again = bad.select("kind", "norm").withColumn("attempt", F.lit(attempt + 1))
-        todo = write_table(again.withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.lit(key))), "surrogates")
+        todo = write_table(again.withColumn("s", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "surrogates")
     raise ValueError(f"{todo.count()} units have no surrogate of their own after {tries} tries")
 
 
@@ -259,13 +294,13 @@ def replace_pii(df: DataFrame, key: str, text: str = "text", n_entities: str = "
     """df with personal data in the text column replaced, and the number of entities that were; a column of that name is
     replaced. Null text stays null, with none. Texts without an entity stay as they are, byte for byte. The key decides
     all surrogates; keep it secret, and use the same for what must match."""
-    body, secret = F.col(f"`{text}`"), F.lit(key)
+    body = F.col(f"`{text}`")
     names = [c for c in df.columns if c.lower() != n_entities.lower()]
     rows = df.select(*(F.col(f"`{c}`") for c in names))
     overrides = resolve(distinct_units(df, text), key)
     some, hits, others = (free_name(df, x) for x in ("overrides", "hits", "h"))
     if overrides.isEmpty():
-        first = lambda kind, norm: surrogate(kind, norm, F.lit(0), secret)
+        first = lambda kind, norm: surrogate(kind, norm, F.lit(0), key)
     else:
         of_text = lambda: (F.xxhash64(body), F.xxhash64(F.lit(1), body))
         mine = rows.select(*(c.alias(f"h{i}") for i, c in enumerate(of_text())), F.explode(F.flatten(entities(body)["units"])).alias("u")).select("h0", "h1", "u.kind", "u.norm").distinct()
@@ -273,7 +308,7 @@ def replace_pii(df: DataFrame, key: str, text: str = "text", n_entities: str = "
         h0, h1 = of_text()
         maps = maps.withColumnsRenamed({"h0": f"{others}0", "h1": f"{others}1"})
         rows = rows.join(maps, (h0 == F.col(f"{others}0")) & (h1 == F.col(f"{others}1")), "left").drop(f"{others}0", f"{others}1")
-        first = lambda kind, norm: F.coalesce(F.try_element_at(F.col(some), F.concat_ws("\x1f", kind, norm)), surrogate(kind, norm, F.lit(0), secret))
+        first = lambda kind, norm: F.coalesce(F.try_element_at(F.col(some), F.concat_ws("\x1f", kind, norm)), surrogate(kind, norm, F.lit(0), key))
     rows = rows.withColumn(hits, entities(body))
     made = F.transform(F.col(hits), lambda h: F.struct(h["entity"].alias("entity"), h["kind"].alias("kind"), F.transform(h["units"], lambda u: first(u["kind"], u["norm"])).alias("new")))
     new = F.transform(made, lambda h: rendered(h["entity"], h["kind"], h["new"]))

@@ -240,6 +240,16 @@ def test_distinct_stays_distinct(spark):
     assert all(re.fullmatch(pii._ISSUED, g.replace("-", "")) for g in got)
 
 
+def test_persons_that_differ_in_the_initial_stay_two(spark):
+    letters = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÉÖÑČŁŽ", "АБВГЁЙЩЯ", "ΑΒΓΔΩ"]
+    old = [(c, rest) for group, rest in zip(letters, ("Smith", "Smith", "Петров", "Παππάς"), strict=True) for c in group]
+    got = [t for t, _ in replaced(spark, [f"Dr. {c}{stop} {rest}" for stop in (".", "") for c, rest in old] + ["Mr. Smith. he left", "Mr. Smith left"], "queries")]
+    new = [re.fullmatch(r"Dr\. (\w)\. \w+", t)[1] for t in got[: len(old)]]
+    assert len(set(new)) == len(old) and all(x.isupper() and x != c for x, (c, _) in zip(new, old, strict=True))
+    assert got[len(old) : -2] == [t.replace(f"{x}. ", f"{x} ") for t, x in zip(got, new, strict=False)]
+    assert re.fullmatch(r"Mr\. \w+\. he left", got[-2]) and got[-2].split()[1] == got[-1].split()[1] + "."
+
+
 def test_permutation_is_one(spark):
     df = spark.range(1000).selectExpr("lpad(cast(id AS string), 3, '0') AS x")
     out = [r[0] for r in df.select(pii._permuted_digits(pii.F.col("x"), pii.F.lit("k"))).collect()]

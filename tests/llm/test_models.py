@@ -250,6 +250,88 @@ def test_persons_that_differ_in_the_initial_stay_two(spark):
     assert re.fullmatch(r"Mr\. \w+\. he left", got[-2]) and got[-2].split()[1] == got[-1].split()[1] + "."
 
 
+def test_nothing_is_left_for_its_length_or_script(spark):
+    long_secret, local = "abcDEF" * 60 + "7x", "very.long." * 12 + "name"
+    texts = [
+        f'api_key = "{long_secret}"', f"{local}@mail.org", "Mr. Juan Carlos Garcia Lopez Ortega left.", "write to josé@españa.example or --ann.lee@x.org.", "mail иван@почта.рф now",
+        "at 2001:db8:85a3::8a2e:370:7334 or fe80::1", "IBAN DE89 3704 0044 0532 0130 00.", "GB82WEST12345698765432", "key sk-live-4eC39HqLyjWDarjtT1zdp7dc", "+49 30 123456", "+1 (743) 555-3824 and 743-555-3824",
+        "password: CorrectHorseBatteryStaple", "Mr. John Smith and Dr. John Smith", "Mr. B. Roe, Mr. C. Roe", "Mrs. Ann Lee's house. He met Mr. Lee. They left", "std::abs 10:30:45 a::b",
+    ]
+    got = [t for t, _ in replaced(spark, texts)]
+    secrets = [long_secret, local, "Juan", "Carlos", "Garcia", "Lopez", "Ortega", "josé", "españa", "ann.lee", "иван", "почта", "2001:db8", "fe80", "3704", "WEST", "4eC39", "123456", "743", "Horse", "John", "Smith", "Ann", "Lee"]
+    assert not [x for x in secrets if any(x in t for t in got)]
+    assert re.fullmatch(r'api_key = "[a-z]{3}.*"', got[0]) and len(got[0]) == len(texts[0]) and len(got[1].split("@")[0]) == len(local)
+    assert re.fullmatch(r"Mr\.(?: [A-Z]\w+){5} left\.", got[2]) and re.search(r" --[a-z]{3}\.[a-z]{3}@", got[3]) and re.search(r"mail [а-яё]{4}@[а-яё]{5}\.example\.рф now", got[4])
+    assert re.fullmatch(r"at [0-9a-f:]+ or [0-9a-f]{2}\d\d::\d", got[5])
+    for t in (got[6][5:-1], got[7]):
+        x = t.replace(" ", "")
+        assert x[:2] in ("DE", "GB") and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert re.fullmatch(r"key sk-live-\w{24}", got[8]) and re.fullmatch(r"\+49 \d\d \d{6}", got[9])
+    a, b = re.fullmatch(r"\+1 (.+) and (.+)", got[10]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) and Dr\. (\w+) (\w+)", got[12])
+    assert m[1] == m[3] and m[2] == m[4] and m[1] in pii.GIVEN["lat", "m"].split()
+    m = re.fullmatch(r"Mr\. ([A-Z])\. (\w+), Mr\. ([A-Z])\. (\w+)", got[13])
+    assert m[1] != m[3] and m[2] == m[4]
+    m = re.fullmatch(r"Mrs\. \w+ (\w+)'s house\. He met Mr\. (\w+)\. They left", got[14])
+    assert m[1] == m[2] and got[15] == texts[15]
+
+
+def test_patterns_take_linear_time(spark):
+    n = 20_000
+    texts = ["a.b-c+d_" * n, "Mr. " + "Abc " * n, "x@" + "a." * n, "1" * n, "12-" * n, "AB12 " * n, "token: " + "a" * n, "=" * n, "1.2." * n, "a:" * n, "Dr. " + "A. " * n]
+    got = replaced(spark, texts)
+    assert [t for t, _ in got][0] == texts[0] and all(len(t) > 1000 for t, _ in got)
+
+
+def _own_finder(t):
+    """Personal data as the tables plant it, found without the operator's patterns."""
+    out = [("email", m) for m in re.findall(r"\w[\w.]*@\w+\.example\.com", t)] + [("phone", m) for m in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", t)]
+    out += [("secret", m) for m in re.findall(r'(?i)token = "(\w{40})"', t)] + [("card", m) for m in re.findall(r"(?<![\w.-])4\d{15}(?!\w)", t) if luhn(m)]
+    return out + [("ip", m) for m in re.findall(r"(?<![\w.])\d+\.\d+\.\d+\.\d+(?![\w.])", t) if all(int(x) < 256 for x in m.split("."))]
+
+
+def test_whole_table_by_another_finder(spark):
+    before = dict(duckdb.sql(f"SELECT doc_id, text FROM '{LARGER}/documents.parquet'").fetchall())
+    after = {r.doc_id: r for r in QUERIES["op7_pii"](spark, LARGER).collect()}
+    assert set(before) == set(after)
+    surrogates = {}
+    for i, t in before.items():
+        found = [] if t is None else _own_finder(t)
+        if not found:
+            assert after[i].n_entities or after[i].text == t
+            continue
+        assert after[i].n_entities >= len(found)
+        mine = _own_finder(after[i].text)
+        assert [k for k, _ in mine] == [k for k, _ in found]
+        for (kind, old), (_, new) in zip(found, mine, strict=True):
+            fold = (lambda x: x.lower()) if kind == "email" else (lambda x: x)
+            assert old not in after[i].text and surrogates.setdefault((kind, fold(old)), fold(new)) == fold(new)
+    assert len(surrogates) > 50 and len({(k, v) for (k, _), v in surrogates.items()}) == len(surrogates) and not {(k, v) for (k, _), v in surrogates.items()} & set(surrogates)
+
+
+@pytest.mark.parametrize("small", [32 << 20, 0])
+def test_second_tries_move_no_text(spark, small):
+    # more given names than the pool has, in nulls, empty texts, repeated rows and one large group of copies
+    rows = [(i, f"Mr. {a}{b} Oak {'word ' * 20}") for i, (a, b) in enumerate((a, b) for a in "ABCDEFGHIJ" for b in ("al", "en", "is", "or", "um", "yn"))]
+    rows += [(None, None), (100, ""), (100, ""), (101, "no entity")] + [(200 + i, "Mrs. Ada Bell " * 3) for i in range(300)] + [(7, rows[0][1])] * 5
+    df = frame(spark, rows)
+    out = pii.replace_pii(df, "k", small=small)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert out.columns == [*df.columns, "n_entities"] and len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, set()).add(r.text)
+    assert of[None] == {None} and of[100] == {""} and of[101] == {"no entity"} and len({t for i in range(200, 500) for t in of[i]}) == 1
+    names = {re.match(r"Mr\. (\w+)", t)[1] for i in range(60) for t in of[i] if t.startswith("Mr")}
+    assert len(names) == 60 and of[7] >= of[0]
+    if small:
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    else:  # rows with entities alone are joined, one for each number
+        assert "Union" in plan and plan.count("isnotnull(between") >= 2
+
+
 def test_permutation_is_one(spark):
     df = spark.range(1000).selectExpr("lpad(cast(id AS string), 3, '0') AS x")
     out = [r[0] for r in df.select(pii._permuted_digits(pii.F.col("x"), pii.F.lit("k"))).collect()]

@@ -1,12 +1,12 @@
 """Operator 1: byte-pair encoding and decoding, long unsplit text by tree concatenation.
 
-A text is first cut where no pre-token can reach across: before a single space or other white space that follows a
-character that is none. Stretches of short pieces are encoded whole. A piece that has no such cut and is long goes
-through the tree: its pre-tokens are found, a long pre-token is halved down to leaves, the leaves are encoded in one
-parallel batch, and neighbours are joined level by level. A join re-encodes a window of tokens around the seam and
-doubles the window until the tokens at both of its ends are those that the halves had there. As a byte-pair encoding
-is determined by its adjacent token pairs, every pair of the joined sequence then is as in a whole encoding, so the
-result is exact.
+A text longer than a leaf is halved, wherever its middle is, until all parts are leaves. The leaves of all texts of a batch
+are encoded in one go, in parallel, and neighbours are joined level by level. A join re-encodes a window of tokens
+around the seam and doubles it until both sides agree exactly: on each side, the window's ids and those that the half had
+there run alike up to a place where no pre-token can reach across (after a letter, digit or sign, before white space or
+another of these), or the window lies within one pre-token and they agree at its ends. In the first case both sides of the place are encoded for
+themselves; in the second, as a byte-pair encoding is determined by its adjacent token pairs, every pair of the joined
+sequence is as in a whole encoding. So the result is exact; a text without any such place is in the end one window.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,13 @@ from pyspark.sql import types as T
 
 from tagsmith.llm.common import ship, slices
 
-#: A run of white space goes with the word after it; a single other white space stands alone; a single space leads its word.
-_PIECE = re.compile(r"\s{2,}\S*| ?\S+|\s")
 #: The pre-tokenizer's pattern; a fixed value of the byte-level format.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside of blocks whose classes have long been the same in all versions of Unicode: libraries may differ.
 _UNSURE = re.compile("[^\x00-\x1b\x20-\u036f\u0386-\u0481\u2010-\u2027\u2030-\u205e\u20a0-\u20b9\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f320]")
-#: White space to Python's re, but not to the pre-tokenizer's pattern.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Letters, digits, signs and white space of ASCII: a run of one of these kinds is within one pre-token.
+_BLANK = " \t\n\x0b\x0c\r"
+_RUNS = tuple(re.compile(x) for x in (rb"[A-Za-z]+", rb"[0-9]+", rb"[!-&(-/:-@\[-`{-~]+", rb"[ \t\n\x0b\x0c\r]+"))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,13 +73,31 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+def places_of(text: str) -> set[int]:
+    """Offsets in bytes that no pre-token reaches across, whatever stands around the text: after a letter, digit or sign
+    and before white space or another of these kinds. An apostrophe may go with what follows."""
+
+    def kind(c: str) -> int:
+        if c in _BLANK:
+            return 0
+        return 4 if c == "'" else 5 if _UNSURE.match(c) or c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3
+
+    out, at, was = set(), 0, 5
+    for c in text:
+        now = kind(c)
+        if (now == 0 and 1 <= was <= 4) or (1 <= was <= 3 and 1 <= now <= 3 and was != now):
+            out.add(at)
+        at, was = at + len(c.encode()), now
+    return out
+
+
 class TreeEncoder:
-    """leaf: characters of a leaf of the tree, and of the longest piece that isn't halved."""
+    """leaf: characters of the longest part that is encoded whole. joins: how many seams there were."""
 
     def __init__(self, path: str, leaf: int = 2048):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.leaf = leaf
+        self.leaf, self.joins = leaf, 0
         self.tok, self.raw = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for t in (self.tok, self.raw):
             t.no_truncation()
@@ -112,16 +130,30 @@ class TreeEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as whole encoding gives them."""
-        out: list[np.ndarray | None] = []
-        for t in texts:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        parts, owners = [], []
+        for k, t in enumerate(texts):
             if self.any_special is not None and self.any_special.search(t):
-                out.append(self._with_special(t))
-            elif self.cuts and len(t) > self.leaf and not _ODD.search(t) and self._has_long(t):
-                out.append(self._cut(t))
-            elif self.ranked is not None and (t.isascii() or not _UNSURE.search(t)):
-                out.append(self.ranked.encode_to_numpy(t, disallowed_special=()))
+                out[k] = self._with_special(t)
             else:
-                out.append(None)
+                own = self.leaves(t)
+                parts += own
+                owners += [k] * len(own)
+        done = self._whole(parts)
+        for k, own in groupby(zip(owners, done, strict=True), key=lambda x: x[0]):
+            out[k] = self._joined([ids for _, ids in own])
+        return out
+
+    def leaves(self, text: str) -> list[str]:
+        """Halves of halves, down to the leaf's size; a text is one leaf if the vocabulary's format isn't the known one."""
+        parts = [text]
+        while self.cuts and max(map(len, parts)) > self.leaf:
+            parts = [h for s in parts for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > self.leaf else (s,))]
+        return parts
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that aren't cut, in one batch."""
+        out: list[np.ndarray | None] = [self.ranked.encode_to_numpy(t, disallowed_special=()) if self.ranked is not None and (t.isascii() or not _UNSURE.search(t)) else None for t in texts]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
             out[i] = np.array(x.ids, np.uint32)
@@ -132,46 +164,17 @@ class TreeEncoder:
         plain = iter(self.encode_batch([x for x in parts if x not in self.special]))
         return np.concatenate([np.array([self.special[x]], np.uint32) if x in self.special else next(plain) for x in parts])
 
-    def _has_long(self, text: str) -> bool:
-        words = [len(w) for w in text.split()]
-        return max(words, default=0) >= self.leaf or len(text) - sum(words) >= len(words) + self.leaf
-
-    def _cut(self, text: str) -> np.ndarray:
-        """Stretches of short pieces whole, long pieces by themselves."""
-        stretches: list[list[str]] = [[]]
-        for p in _PIECE.findall(text):
-            if len(p) > self.leaf:
-                stretches += [[p], []]
-            else:
-                stretches[-1].append(p)
-        plain = iter(self.encode_batch([s for s in map("".join, stretches[::2]) if not self._has_long(s)]))
-        return np.concatenate([self._unsplit(s[0]) if k % 2 else np.array(self.tok.encode(x, add_special_tokens=False).ids, np.uint32) if self._has_long(x := "".join(s)) else next(plain) for k, s in enumerate(stretches)])
-
-    def _unsplit(self, piece: str) -> np.ndarray:
-        """A long piece without cuts: short pre-tokens in one batch, long ones by the tree."""
-        data, at, spans = piece.encode(), 0, []
-        for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece):  # one character a byte
-            spans.append(data[at : at + len(mapped)].decode())
-            at += len(mapped)
-        short = [s for s in spans if len(s) <= self.leaf]
-        plain = iter(self.raw.encode_batch_fast(short, add_special_tokens=False) if short else [])
-        return np.concatenate([np.array(next(plain).ids, np.uint32) if len(s) <= self.leaf else self.tree(s) for s in spans])
-
-    def tree(self, run: str) -> np.ndarray:
-        """One pre-token, however long."""
-        leaves = [run]
-        while max(map(len, leaves)) > self.leaf:
-            leaves = [h for s in leaves for h in ((s[: len(s) // 2], s[len(s) // 2 :]) if len(s) > self.leaf else (s,))]
-        parts = [list(x.ids) for x in self.raw.encode_batch_fast(leaves, add_special_tokens=False)]
+    def _joined(self, parts: list[np.ndarray]) -> np.ndarray:
         while len(parts) > 1:
             parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return np.array(parts[0], np.uint32)
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two encoded neighbours' text, from a window that grows until both of its ends agree."""
-        if not left or not right:
-            return left or right
-        tokens, size = self.bytes.each, 4
+        return parts[0]
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The encoding of two encoded neighbours' text, from a window that grows until both of its sides agree."""
+        if not len(left) or not len(right):
+            return left if len(left) else right
+        self.joins += 1
+        tokens, size = self.bytes.each, 8
         inner = lambda i: 0x80 <= tokens[i][0] < 0xC0  # noqa: E731  the token starts within a character
         while True:
             a, b = max(0, len(left) - size), min(len(right), size)
@@ -179,12 +182,30 @@ class TreeEncoder:
                 a -= 1
             while b < len(right) and inner(right[b]):
                 b += 1
-            window = b"".join(tokens[i] for i in (*left[a:], *right[:b])).decode()
-            ids = self.raw.encode(window, add_special_tokens=False).ids
-            if (a == 0 or ids[:2] == left[a:][:2]) and (b == len(right) or ids[-2:] == right[:b][-2:]):
-                return left[:a] + ids + right[b:]
+            window = b"".join(tokens[i] for i in (*left[a:], *right[:b]))
+            before, after = left[a:], right[:b]
+            if any(run.fullmatch(window) for run in _RUNS):
+                ids = np.array(self.raw.encode(window.decode(), add_special_tokens=False).ids, np.uint32)
+                i = 0 if a == 0 or np.array_equal(ids[:2], before[:2]) else None
+                j = 0 if b == len(right) or np.array_equal(ids[-2:], after[-2:]) else None
+            else:
+                [ids], places = self._whole([window.decode()]), places_of(window.decode())
+                i = 0 if a == 0 else self._agreed(ids, before, places, 0, 1)
+                j = 0 if b == len(right) else self._agreed(ids[::-1], after[::-1], places, len(window), -1)
+            if i is not None and j is not None:
+                return np.concatenate([left[: a + i], ids[i : len(ids) - j], right[b - j :]])
             size *= 2
 
+    def _agreed(self, ids: np.ndarray, own: np.ndarray, places: set[int], at: int, step: int) -> int | None:
+        """How many tokens from an end of the window run alike, up to the first place."""
+        for k, (x, y) in enumerate(zip(ids.tolist(), own.tolist(), strict=False)):
+            if at in places:
+                return k
+            if x != y:
+                return None
+            at += step * len(self.bytes.each[x])
+        return None
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TreeEncoder:

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -41,6 +42,23 @@ def test_tree_of_a_very_long_run(reference):
         assert enc.encode_batch([t])[0].tolist() == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_long_documents_go_through_the_tree(reference):
+    """All texts of the table, at the operator's own leaf: joins take place, and all ids are the library's."""
+    own = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE text IS NOT NULL AND length(text) > 2048").fetchall()]
+    enc = bpe.TreeEncoder(vocabulary())
+    got = [x for k in range(0, len(own), 64) for x in enc.encode_batch(own[k : k + 64])]
+    assert enc.joins >= len(own) > 1000
+    for t, ids, want in zip(own, got, reference.encode_batch_fast(own, add_special_tokens=False), strict=True):
+        assert np.array_equal(ids, want.ids), t[:80]
+
+
+def test_short_documents_are_the_librarys_too(reference):
+    own = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE length(text) <= 2048").fetchall()]
+    enc = bpe.TreeEncoder(vocabulary())
+    for t, ids, want in zip(own, enc.encode_batch(own), reference.encode_batch_fast(own, add_special_tokens=False), strict=True):
+        assert np.array_equal(ids, want.ids), t[:80]
+
+
 def test_decoding_also_of_broken_sequences(reference):
     table, rng = bpe.TokenBytes(vocabulary()), random.Random(4)
     for t in texts(300, 9):

@@ -54,7 +54,8 @@ def postings_of(docs: DataFrame, min_chars: int, text: str, doc_id: str) -> Data
 
 @dataclass(frozen=True)
 class LineIndex:
-    """min_chars: code points of the shortest key. shards: of the filters. small: bytes of all filters up to which every
+    """min_chars: code points of the shortest key. shard_keys: keys that a filter's shard may have, twice that before the
+    number of shards is set anew and all filters are built from the exact counts. small: bytes of all filters up to which every
     task gets them all; beyond, lines go to the shards' tasks."""
 
     spark: SparkSession
@@ -62,7 +63,8 @@ class LineIndex:
     counts: DataFrame
     filters: DataFrame
     min_chars: int = 10
-    shards: int = 64
+    shards: int = 0
+    shard_keys: int = 250_000
     small: int = 32 << 20
 
     @classmethod
@@ -97,28 +99,41 @@ class LineIndex:
             both = both.join(first, ["h1", "h2"], "left").withColumn("first_doc", F.when(F.col("change") != 0, F.col("new_first")).otherwise(F.col("first_doc"))).drop("new_first")
         counts = write_table(both.select("h1", "h2", "before", (F.col("before") + F.col("change")).alias("n_docs"), "first_doc"), "line-counts")
         live = counts.filter("n_docs > 0").select("h1", "h2", "n_docs", "first_doc")
-        crossed = counts.filter("(before >= 2) != (n_docs >= 2)").select(self._shard().alias("shard"), "h1", "h2", (F.col("n_docs") >= 2).alias("enters"))
+        n = live.filter("n_docs >= 2").count()
         grown = replace(self, postings=postings, counts=live)
+        if n > 2 * self.shards * self.shard_keys or not self.shards:
+            grown = replace(grown, shards=1 << max(0, (n // self.shard_keys).bit_length()), filters=self.filters.limit(0))
+            return replace(grown, filters=write_table(grown._changed(grown._keys()), "line-filters"))
+        crossed = counts.filter("(before >= 2) != (n_docs >= 2)").select(self._shard().alias("shard"), "h1", "h2", (F.col("n_docs") >= 2).alias("enters"))
         filters = write_table(self._changed(crossed), "line-filters")
         full = [r.shard for r in filters.filter("filter IS NULL").select("shard").collect()]
         if full:  # of these shards, from all their keys
-            keys = live.filter("n_docs >= 2").select(self._shard().alias("shard"), "h1", "h2", F.lit(True).alias("enters")).filter(F.col("shard").isin(full))
-            rebuilt = replace(grown, filters=self.filters.limit(0))._changed(keys)
+            rebuilt = replace(grown, filters=self.filters.limit(0))._changed(grown._keys().filter(F.col("shard").isin(full)))
             filters = write_table(filters.filter("filter IS NOT NULL").unionByName(rebuilt), "line-filters")
         return replace(grown, filters=filters)
 
+    def _keys(self) -> DataFrame:
+        return self.counts.filter("n_docs >= 2").select(self._shard().alias("shard"), "h1", "h2", F.lit(True).alias("enters"))
+
     def _changed(self, crossed: DataFrame) -> DataFrame:
-        """The shards' filters after keys have come and gone; null for one that is full."""
+        """The shards' filters after keys have come and gone; null for an old one that is full. A new one is made larger
+        until all keys have a place."""
 
         def change(key, old, keys):
             h1, h2, enters = (keys.column(c).to_numpy() for c in ("h1", "h2", "enters"))
-            f = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(2 * int(enters.sum()))
-            try:
-                f.delete(h1[~enters].view(np.uint64), h2[~enters].view(np.uint64))
-                f.insert(h1[enters].view(np.uint64), h2[enters].view(np.uint64))
-                data = f.to_bytes()
-            except Full:
-                data = None
+            came, size, data = (h1[enters].view(np.uint64), h2[enters].view(np.uint64)), 2 * int(enters.sum()), None
+            while data is None:
+                f = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(size)
+                try:
+                    f.delete(h1[~enters].view(np.uint64), h2[~enters].view(np.uint64))
+                    f.insert(*came)
+                    data = f.to_bytes()
+                except Full:
+                    if old.num_rows or size > 1000 * len(h1):
+                        break
+                    size *= 2
+            if data is None and not old.num_rows:
+                raise Full(f"shard {key[0].as_py()}: {len(h1)} keys")
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([data], pa.binary())})
 
         return self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, filter binary")

@@ -25,8 +25,8 @@ from tagsmith.llm.common import durable, ship, slices, write_table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _SCHEMA = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in (x.split()[0] for x in PIECES.split(", "))])
-#: Bits of a sequence id below the packer's number.
-_LOCAL = 40
+#: Bits of a sequence id below the packer's number (32 bits, as Spark's are), and below the round's.
+_LOCAL, _ROUND = 25, 57
 
 
 class Packer:
@@ -93,6 +93,12 @@ def _rows(windows: list[tuple[int, list]], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _next(seq: int) -> int:
+    if (seq + 1) >> _LOCAL != seq >> _LOCAL:
+        raise OverflowError(f"a partition has more than {1 << _LOCAL} sequences: use more partitions")
+    return seq + 1
+
+
 def _full(pieces: list, window: int) -> bool:
     return sum(len(p[2]) for p in pieces) == window
 
@@ -118,11 +124,11 @@ def pack(df: DataFrame, path: str, window: int = 1024, open_windows: int = 64, f
             for i, x in zip(batch.column("doc_id").to_pylist(), enc.encode_batch(batch.column("text").to_pylist()), strict=True):
                 for pieces in packer.add(i, np.concatenate([x, end])):
                     out.append((seq, pieces))
-                    seq += 1
+                    seq = _next(seq)
             yield _rows(out, keep_ids)
         for pieces in packer.merge():
             yield _rows([(seq, pieces)], keep_ids or not _full(pieces, window))
-            seq += 1
+            seq = _next(seq)
 
     made = write_table(source.mapInArrow(run, PIECES), "packed")
     size = F.sum("length").over(Window.partitionBy("sequence_id"))
@@ -145,12 +151,12 @@ def _merge_round(partial: DataFrame, span: int, k: int, window: int) -> DataFram
     """Merge the rests of the packers of each span of numbers; ids of new sequences say the round, so none is used twice."""
 
     def merge(key, table):
-        packer, seq = Packer(window, 1 << 30), (k << 60) | (key[0].as_py() * span << _LOCAL)
+        packer, seq = Packer(window, 1 << 30), (k << _ROUND) | (key[0].as_py() * span << _LOCAL)
         rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
         for _, own in groupby(rows, key=lambda r: r["sequence_id"]):
             pieces = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]) for r in own]
             packer.open.append((window - sum(len(p[2]) for p in pieces), pieces))
         return pa.Table.from_batches([_rows([(seq + i, p) for i, p in enumerate(packer.merge())], True)], _SCHEMA)
 
-    group = F.floor(F.shiftright(F.col("sequence_id").bitwiseAND((1 << 60) - 1), _LOCAL) / span).cast("long")
+    group = F.floor(F.shiftright(F.col("sequence_id").bitwiseAND((1 << _ROUND) - 1), _LOCAL) / span).cast("long")
     return partial.groupBy(group.alias("group")).applyInArrow(merge, PIECES)

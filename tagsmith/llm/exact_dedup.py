@@ -1,11 +1,11 @@
 """Operator 10: exact de-duplication by a tree merge of sorted digest runs. DataFrame operations only.
 
-Each input partition makes one run: its distinct digests with the row to keep, the number of rows and the members. Runs
-are exchanged in rounds, like the rounds of a binomial tree but several runs at a time: in each round, the nodes that
-differ in one digit of their number meet, each takes the digests with its own digit, and merges what it gets, in order
-of the digest. After the last round each node has a range of digests whole. As every run holds a digest once, a group
-of copies, however large, is at most one row a run; the members stay in the first runs and get their result by a join
-with the merged digests, at most one row a run again.
+Each input partition makes one run: its rows' digests, in order, written where they are made. Of each run the distinct
+digests go on, with the row to keep and the number of rows. They are exchanged in rounds, like the rounds of a binomial
+tree but several runs at a time: in each round, the nodes that differ in one digit of their number meet, each takes the
+digests with its own digit, and merges what it gets, in order of the digest. After the last round each node has a range
+of digests whole. As every run gives a digest once, a group of copies, however large, is at most one row a run. The merged
+digests go back to the runs that have them, and each run's rows join their own: no task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -27,20 +27,25 @@ def tree_shape(partitions: int, fan_in: int = 16) -> tuple[int, int]:
     return max(2, math.ceil(partitions ** (1 / rounds) - 1e-9)), rounds
 
 
-def first_runs(df: DataFrame, nodes: int, text: str, doc_id: str, largest: bool) -> DataFrame:
+def first_runs(df: DataFrame, nodes: int, text: str, doc_id: str) -> DataFrame:
+    """The rows with their digests, a sorted run for each partition; nothing is exchanged."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
+        F.spark_partition_id().alias("run"),
         F.pmod(F.spark_partition_id(), F.lit(nodes)).alias("node"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
         F.octet_length(body).alias("n_bytes"),
         F.xxhash64(body).alias("check"),
     )
-    who = F.struct(F.col("doc_id"), F.col("row"))
-    best = F.max(who) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
-    runs = rows.groupBy("node", *KEY).agg(best.alias("best"), F.count(F.lit(1)).alias("n"), F.collect_list(who).alias("members"))
-    return write_table(runs.sortWithinPartitions("node", *KEY), "digest-runs")
+    return write_table(rows.sortWithinPartitions(*KEY), "digest-runs")
+
+
+def heads(runs: DataFrame, largest: bool) -> DataFrame:
+    """Each run's distinct digests; its rows are put together where they are before anything is exchanged."""
+    best = F.max(F.struct("doc_id", "row")) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    return runs.groupBy("run", "node", *KEY).agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
 
 
 def merge_runs(runs: DataFrame, fan: int, rounds: int, largest: bool) -> DataFrame:
@@ -68,13 +73,15 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
         raise ValueError(f"keep: {keep!r}")
     largest = keep == "largest"
     fan, rounds = tree_shape(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in)
-    runs = first_runs(df, fan**rounds, text, doc_id, largest)
-    whole = merge_runs(runs, fan, rounds, largest).withColumnsRenamed({"best": "kept_row", "n": "group_size"})
-    each = runs.select(*KEY, "members").join(whole, KEY).select("digest", "kept_row", "group_size", F.explode("members").alias("m"))
+    runs = first_runs(df, fan**rounds, text, doc_id)
+    own = write_table(heads(runs, largest), "digest-heads")
+    whole = merge_runs(own, fan, rounds, largest).withColumnsRenamed({"best": "kept_row", "n": "group_size"})
+    back = own.select("run", *KEY).join(whole, KEY)
+    each = runs.select("run", *KEY, "doc_id", "row").join(back, ["run", *KEY])
     return each.select(
-        F.col("m.doc_id").alias("doc_id"),
+        "doc_id",
         F.col("kept_row.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("m.row") == F.col("kept_row.row")).alias("kept"),
+        (F.col("row") == F.col("kept_row.row")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )

@@ -102,6 +102,16 @@ def test_full_filters_are_rebuilt(spark):
     assert got(index.dedup(frame(spark, rows))) == dedup_by_hand(rows)
 
 
+def test_shards_follow_the_number_of_keys(spark):
+    rows = [(i, f"line number {k} is shared by all\n" * 2) for k in range(300) for i in (2 * k, 2 * k + 1)]
+    few = line_dedup.LineIndex.empty(spark, shard_keys=20).insert(frame(spark, rows[:20]))
+    many = few.insert(frame(spark, rows[20:]))
+    assert (few.shards, many.shards) == (1, 16) and many.filters.count() == 16
+    assert got(many.dedup(frame(spark, rows))) == dedup_by_hand(rows)
+    gone = many.delete(spark.createDataFrame([(r[0],) for r in rows if r[0] % 2], "doc_id long"))
+    assert gone.shards == 16 and got(gone.dedup(frame(spark, rows[::2]))) == dedup_by_hand(rows[::2])
+
+
 # --- near-duplicates
 
 
@@ -203,6 +213,16 @@ def test_exact(spark, keep, fan_in):
         assert [r.doc_id for r in own if r.kept] == [best]
 
 
+def test_exact_runs_are_made_where_the_rows_are(spark):
+    """Nothing is exchanged before a run is written, and no row holds more than one member."""
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string").repartition(7)
+    runs = exact_dedup.first_runs(df, 4, "text", "doc_id")
+    assert runs.count() == 3000 and not [f for f in runs.schema.fields if f.dataType.typeName() == "array"]
+    assert exact_dedup.heads(runs, True).groupBy("digest").count().agg({"count": "max"}).first()[0] <= 7
+    out = exact_dedup.exact_dedup(df).collect()
+    assert len(out) == 3000 and {(r.keep_id, r.group_size) for r in out if r.doc_id % 3} == {(2999, 2000)} and sum(r.kept for r in out) == 1001
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert line_dedup.dedup_lines(empty).count() == jaccard.near_duplicates(empty).count() == exact_dedup.exact_dedup(empty).count() == 0

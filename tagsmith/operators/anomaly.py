@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagsmith.functions.text import combinations
 from tagsmith.operators.labelsets import MOST_LABELS, Scorer, ScorerModel, VectorModel, gram_matrix, label_sets, n_hot, sorted_labels, top_directions, vocabulary
-from tagsmith.sources.store import bounded
+from tagsmith.sources.store import bounded, kept
 
 UNSEEN = -math.log(1e-8)
 ORDERS = (1, 2, 3)
@@ -43,7 +43,7 @@ class StatisticalNGramAnomaly(Scorer):
         counts = combination_counts(label_sets(df, distinct=False))
         if base is not None:
             counts = counts.unionByName(base.tables["combinations"]).groupBy("size", "gram").agg(F.sum("n").alias("n"))
-        return NGramModel({}, {"combinations": counts})
+        return NGramModel({}, {"combinations": kept(counts, "combinations")})
 
 
 class NGramModel(ScorerModel):
@@ -94,7 +94,7 @@ class SVDAnomaly(Scorer):
         self.k = components
 
     def fit(self, df: DataFrame, base: ScorerModel | None = None) -> SVDModel:
-        sets = label_sets(df, distinct=True)
+        sets = kept(label_sets(df, distinct=True), "label-sets")
         labels = vocabulary(sets)
         gram = gram_matrix(sets, labels)
         if base is not None:
@@ -124,7 +124,7 @@ class SVDModel(VectorModel):
 
 
 def _projected(df: DataFrame, k: int = 4) -> tuple[list[str], np.ndarray, DataFrame]:
-    sets = label_sets(df, distinct=True)
+    sets = kept(label_sets(df, distinct=True), "label-sets")
     labels = vocabulary(sets)
     return labels, top_directions(gram_matrix(sets, labels), k), sets
 
@@ -158,6 +158,14 @@ def path_lengths(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def without_replacement(rng: np.random.Generator, n: np.ndarray, size: int) -> np.ndarray:
+    """How many of each kind a draw of size among n.sum() rows has, at any number of rows."""
+    ends, rows = np.cumsum(n), set()
+    while len(rows) < size:
+        rows.add(int(rng.integers(0, int(ends[-1]))))
+    return np.bincount(np.searchsorted(ends, sorted(rows), "right"), minlength=len(n))
+
+
 class IFAnomaly(Scorer):
     """trees, each on `sample` rows drawn without replacement; distinct sets of labels stand for their rows."""
 
@@ -173,8 +181,7 @@ class IFAnomaly(Scorer):
         x, n = x[order], n[order]
         rng, psi, trees = np.random.default_rng(self.seed), int(min(self.size, n.sum())), []
         for _ in range(self.trees):  # psi rows without replacement, as counts of the distinct sets
-            drawn = rng.multivariate_hypergeometric(n, psi, method="marginals") if n.sum() < 10**9 else rng.multinomial(psi, n / n.sum())
-            rows = np.repeat(x, drawn, axis=0)
+            rows = np.repeat(x, without_replacement(rng, n, psi), axis=0)
             trees.append(grow_tree(rows, max(1, math.ceil(math.log2(max(2, psi)))), rng))
         return ForestModel({"labels": labels, "directions": directions.tolist(), "trees": trees, "psi": psi})
 

@@ -32,10 +32,11 @@ def vocabulary(sets: DataFrame) -> list[str]:
 
 def gram_matrix(sets: DataFrame, labels: list[str]) -> np.ndarray:
     """The sum over rows of x xᵀ, x being a row's labels as 0 and 1: counts of pairs, so sums of two tables add."""
-    pairs = sets.select("n", F.explode("key").alias("a"), "key").select("n", "a", F.explode("key").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    at, out = {x: i for i, x in enumerate(labels)}, np.zeros((len(labels), len(labels)))
-    for r in pairs.collect():  # at most MOST_LABELS squared
-        out[at[r.a], at[r.b]] = r.n
+    own = sets.select("n", F.transform("key", lambda x: F.array_position(F.array(*map(F.lit, labels)), x).cast("int") - 1).alias("key"))
+    pairs = own.select("n", F.explode("key").alias("a"), "key").select("n", "a", F.explode("key").alias("b")).filter("a <= b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found, out = pairs.toArrow(), np.zeros((len(labels), len(labels)))  # 16 bytes for each of at most MOST_LABELS squared / 2
+    a, b, n = (found.column(c).to_numpy() for c in ("a", "b", "n"))
+    out[a, b] = out[b, a] = n
     return out
 
 

@@ -40,8 +40,8 @@ def mapped(texts: DataFrame, vocab: DataFrame, mode: str) -> DataFrame:
     named = texts.select(*_hashes(F.col("t")), "t", "w").repartition(n, "a", "b")
     try:
         known = sorted(r.token for r in bounded(vocab, LITERAL))
-        inside = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-        return named.select("a", "b", "w", F.transform(tokenized(F.col("t"), mode), lambda x: F.when(F.array_contains(inside, x), x).otherwise(UNKNOWN)).alias("items"))
+        # isin() with constants is a look-up in a set; array_contains() would go through all of them
+        return named.select("a", "b", "w", F.transform(tokenized(F.col("t"), mode), lambda x: F.when(x.isin(known), x).otherwise(UNKNOWN)).alias("items"))
     except TooLarge:
         pass
     each = named.select("a", "b", F.posexplode(tokenized(F.col("t"), mode)).alias("i", "token"))

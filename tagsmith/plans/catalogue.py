@@ -609,8 +609,9 @@ def autoconfig_generators(spark, sf):
 
 @query("SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS low, max(value) AS high, count(*) AS n FROM events")
 def column_statistics(spark, sf):
-    v = F.col("value")
-    return rounded(TableView(table(spark, sf, "events")).df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("n")))
+    view = TableView(table(spark, sf, "events"))
+    v = view["value"]
+    return rounded(spark.createDataFrame([(v.mean(), v.std(), v.min(), v.max(), len(view))], "mean double, std double, low double, high double, n long"))
 
 
 @query("SELECT event_type, count(*) AS count FROM events GROUP BY event_type")

@@ -65,6 +65,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         LabelPipeline(PipelineConfig.from_file(a.conf_file)).fit(df, base).save(spark, a.model_file)
     elif a.command == "run":
         model = PipelineModel.load(spark, a.model_file)
+        if a.conf_file:
+            model = model.configured(PipelineConfig.from_file(a.conf_file))
         _write(model.transform(df), a, model.scoring.kind)
     else:
         _write(apply_rules(df, load_rules(a.rules_folder)), a, "rules")

@@ -73,10 +73,25 @@ class PipelineModel:
     def label(self, df: DataFrame) -> DataFrame:
         return labelled(df, self.models)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """df with labels, bonus and score."""
-        out = self.label(df)
-        return out if self.scoring is None else self.scoring.score(out)
+    def transform(self, df: DataFrame, labels: str = "labels", score: str = "score") -> DataFrame:
+        """df with labels, bonus and score, the first and last under names of choice: then columns of df that are called
+        labels and score stay. Columns of the names chosen are replaced."""
+        stay = [c for c, dest in (("labels", labels), ("score", score)) if dest != c and c in df.columns]
+        out = self.label(df.withColumns({f"__own_{c}": F.col(c) for c in stay}) if stay else df)
+        out = out if self.scoring is None else self.scoring.score(out)
+        for made, dest in (("labels", labels), ("score", score)):
+            if made in out.columns and dest != made:
+                out = out.drop(dest).withColumnRenamed(made, dest)
+        return out.withColumnsRenamed({f"__own_{c}": c for c in stay if c not in (labels, score)})
+
+    def configured(self, config: PipelineConfig) -> PipelineModel:
+        """The fitted generators that the configuration has, in its order, and its scorer, which must be the fitted one."""
+        missing = [s for s in config.generators if s not in self.models]
+        if missing:
+            raise LookupError(f"the model has no {', '.join(missing)}")
+        if self.scoring is None or config.scorer != self.scoring.kind:
+            raise LookupError(f"the model has no scorer {config.scorer}")
+        return PipelineModel(config, {s: self.models[s] for s in config.generators}, self.scoring)
 
     def row(self, record: dict) -> dict:
         """One record without Spark."""
@@ -138,6 +153,8 @@ class LabelPipeline:
             model = generator(kind, **arguments).fit(df, weight, base.models.get(section) if base else None)
             for w in getattr(model, "warnings", lambda: [])() if base is None else ():
                 log.warning("%s", w)
+            # each table is used by the scorer's fit and every transform: computed once
+            model.tables = {k: store.kept(t, "model-table") if not isinstance(model, TextModel) else t for k, t in model.tables.items()} if getattr(model, "tables", None) else {}
             models[section] = model
         scoring = scorer(self.config.scorer, **self.config.scorer_arguments).fit(labelled(df, models), base.scoring if base and base.scoring and base.scoring.kind == self.config.scorer else None)
         return PipelineModel(self.config, models, scoring)

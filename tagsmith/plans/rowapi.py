@@ -62,7 +62,7 @@ class RowScorer:
     def get_instance(spark: SparkSession, config: Config, pretrained: PretrainedModel) -> RowScorer:
         key = f"{config.md5()}_{pretrained.md5()}"
         if key not in _INSTANCES:
-            _INSTANCES[key] = RowScorer(PipelineModel.load(spark, pretrained.path))
+            _INSTANCES[key] = RowScorer(PipelineModel.load(spark, pretrained.path).configured(config.config))
         return _INSTANCES[key]
 
     def __call__(self, record: dict) -> dict:

@@ -25,10 +25,11 @@ def source(spark: SparkSession, name: str, **options) -> DataFrame:
     return _SOURCES[name](spark, **options)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, lists: tuple[str, ...] = ("labels", "_labels")) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, lists: tuple[str, ...] = ("labels", "_labels"), line_breaks: bool = True) -> DataFrame:
     """A CSV file with names in its first line. Without a schema, types are inferred by a pass over the file. Columns in
-    lists that hold rendered label lists become arrays again."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    lists that hold rendered label lists become arrays again. line_breaks: values may hold some, so each file is read by
+    one task; a large file without any is read by many if that is said."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     for name in lists:
         if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
 import urllib.request
@@ -63,21 +64,15 @@ def post(url: str) -> Callable[[str], None]:
 
 
 def write_bulk(df: DataFrame, model: str, send: Callable[[str], None], index: str = "anomalies", batch: int = 500) -> None:
-    """Partitions send their rows in batches, as they come. A failure is logged and doesn't end the job, which has its
-    results elsewhere; repeated tasks may send rows twice."""
+    """Partitions send their rows in batches, as they come. A batch that fails is logged, and the next ones are sent all
+    the same; the job, which has its results elsewhere, goes on. Repeated tasks may send rows twice."""
 
     def each(rows: Iterator) -> None:
-        lines: list[str] = []
-        try:
-            for r in rows:
-                lines += [json.dumps({"index": {"_index": index}}), r[0]]
-                if len(lines) >= 2 * batch:
-                    send("\n".join(lines) + "\n")
-                    lines = []
-            if lines:
-                send("\n".join(lines) + "\n")
-        except Exception:
-            log.exception("rows weren't sent")
+        while own := list(itertools.islice(rows, batch)):
+            try:
+                send("".join(f"{json.dumps({'index': {'_index': index}})}\n{r[0]}\n" for r in own))
+            except Exception:
+                log.exception("%d rows weren't sent", len(own))
 
     exported(df, model).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).foreachPartition(each)
 

@@ -49,8 +49,12 @@ def load(spark: SparkSession, path: str) -> tuple[dict, callable]:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share, as spark.checkpoint.dir names it; where that is unset, in a
-    temporary one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tagsmith-scratch"
+    temporary one of this machine, if Spark runs on this machine alone. Raises RuntimeError on a cluster without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/tagsmith-scratch"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -174,3 +174,51 @@ def test_training_from_a_stream(spark, events, tmp_path):
     train_stream(stream, PipelineConfig({"n": ("NumericField", {"field_name": "value"})}), f"file://{tmp_path}/models", f"file://{tmp_path}/progress").awaitTermination()
     got = PipelineModel.load(spark, f"file://{tmp_path}/models/2").models["n"].tables["stats"].first().asDict()
     assert got == pytest.approx(LabelPipeline(PipelineConfig({"n": ("NumericField", {"field_name": "value"})})).fit(events).models["n"].tables["stats"].first().asDict())
+
+
+def test_names_of_choice_leave_own_columns(spark):
+    config = PipelineConfig.from_string(CHOICE)
+    df = spark.createDataFrame([("a", "mine", 7)] * 30 + [("b", "mine", 7)], "kind string, labels string, score int")
+    model = LabelPipeline(config).fit(df)
+    out = model.transform(df, labels="tags", score="oddity")
+    assert out.columns == ["kind", "bonus", "tags", "oddity", "labels", "score"] or sorted(out.columns) == sorted(["kind", "labels", "score", "bonus", "tags", "oddity"])
+    plain = {r.kind: (r.labels, r.score) for r in model.transform(df).collect()}
+    assert all((r.labels, r.score) == ("mine", 7) and (r.tags, r.oddity) == plain[r.kind] for r in out.collect())
+
+
+def test_a_configuration_selects_the_fitted_generators(spark):
+    df = spark.createDataFrame([("a", 1.0 * i) for i in range(30)], "kind string, x double")
+    model = LabelPipeline(PipelineConfig.from_string(CHOICE.replace("[AnomalyScoring]", "[N]\ngenerator_type = NumericField\nfield_name = 'x'\n\n[AnomalyScoring]"))).fit(df)
+    some = model.configured(PipelineConfig.from_string(CHOICE))
+    assert list(model.models) == ["M", "N"] and list(some.models) == ["M"]
+    with pytest.raises(LookupError):
+        some.configured(model.config)
+    with pytest.raises(LookupError):
+        model.configured(PipelineConfig.from_string(CHOICE.replace("StatisticalNGramAnomaly", "SVDAnomaly")))
+
+
+def test_a_batch_that_fails_stops_no_other(spark, tmp_path):
+    from tagsmith.sources.sinks import write_bulk
+
+    folder = str(tmp_path)
+
+    def send(payload):
+        if '"x":3' in payload:
+            raise OSError("refused")
+        with open(f"{folder}/{hash(payload)}", "w") as f:
+            f.write(payload)
+
+    df = spark.createDataFrame([(i, ["L"], 1.0) for i in range(10)], "x long, labels array<string>, score double").coalesce(1)
+    write_bulk(df, "m", send, batch=2)
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+CHOICE = """[M]
+generator_type = MultinomialField
+field_name = 'kind'
+absolute_threshold = 2
+relative_threshold = 0.1
+
+[AnomalyScoring]
+scoring_algorithm = StatisticalNGramAnomaly
+"""

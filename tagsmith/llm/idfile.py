@@ -11,6 +11,7 @@ packed and unpacked in 64 vectorised steps. Layout:
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -140,8 +141,8 @@ def write_ids(df: DataFrame, path: str, where: str | None = None, text: str = "t
 
     Null text: as an empty one. Rows with a null doc_id come first; rows of the same doc_id follow the order of their
     text, repeated rows are all kept. Other columns aren't stored. An empty table leaves no shards. Texts are dealt by
-    ranges of doc_id once, and encoded where they are written. A shard is written under another name and then moved, so
-    a task that is run again leaves the same file. Returns the manifest: shard, path, n_docs, n_ids, start (the ids of
+    ranges of doc_id once, and encoded where they are written. Each try of a task writes a file of its own; those of the
+    tries that Spark took are in the manifest, and the others are deleted. Returns the manifest: shard, path, n_docs, n_ids, start (the ids of
     all shards before it)."""
     spark = df.sparkSession
     ship(spark)
@@ -158,26 +159,33 @@ def write_ids(df: DataFrame, path: str, where: str | None = None, text: str = "t
         end = np.array([] if end_id is None else [end_id], np.uint32)
         fs, base = pafs.FileSystem.from_uri(where)
         fs.create_dir(base, recursive=True)
-        final, writer, sink, trial = f"{base}/ids-{part:06d}.tsid", None, None, f"{base}/.trial-{uuid.uuid4().hex}"
+        name, writer, sink = f"ids-{part:06d}-{uuid.uuid4().hex}.tsid", None, None
         for batch in slices(batches):
             if writer is None:
-                sink = fs.open_output_stream(trial)
+                sink = fs.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(sink, bits)
             for i, x in zip(batch.column("doc_id").to_pylist(), enc.encode_batch(batch.column("text").to_pylist()), strict=True):
                 writer.add(i, np.concatenate([x, end]))
         if writer is not None:
             writer.close()
             sink.close()
-            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier try; not all stores replace files
-                fs.delete_file(final)
-            fs.move(trial, final)
-            yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{where}/ids-{part:06d}.tsid"], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]}, schema=_MANIFEST)
+            yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{where}/{name}"], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]}, schema=_MANIFEST)
 
     made = sorted(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect(), key=lambda r: r.shard)
+    _delete_others(where, {r.path.rpartition("/")[2] for r in made})
     starts = np.cumsum([0, *(r.n_ids for r in made)])
     return spark.createDataFrame([(*r, int(s)) for r, s in zip(made, starts[:-1], strict=True)], "shard long, path string, n_docs long, n_ids long, start long")
 
 
+def _delete_others(where: str, names: set[str]) -> None:
+    """Files of tries that failed or came second."""
+    fs, base = pafs.FileSystem.from_uri(where)
+    for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.endswith(".tsid") and f.base_name not in names:
+            with contextlib.suppress(OSError):
+                fs.delete_file(f.path)
+
+
 _MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 

@@ -86,6 +86,7 @@ class Measures:
             "same_lines": 1 - len(set(lines)) / len(lines),
             "small": sum(map(str.islower, words)) / w,
             "lines": len(lines),
+            "wide": int(n[_WIDE]) / max(1, len(data)),
         }
         return Measures(len(words), shares, data)
 
@@ -94,13 +95,14 @@ class Measures:
         out = []
         for share, least_words, bad, good in LABELLERS:
             x = self.shares[share]
-            silent = self.words < least_words or (share == "same_lines" and self.shares["lines"] < 4)
+            # the function words are those of languages in Latin letters: nothing is said of other scripts
+            silent = self.words < least_words or (share == "same_lines" and self.shares["lines"] < 4) or (share == "function" and self.shares["wide"] > 0.3)
             out.append(SILENT if silent else BAD if bad[0] <= x <= bad[1] else GOOD if good[0] <= x <= good[1] else SILENT)
         return out
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Buckets and weights: roots of the shares of hashed byte trigrams, cut off so that none prevails, and hashes of which step each share above is in."""
-        steps = [f"{k}:{sum(v > x for x in _STEPS)}" for k, v in self.shares.items() if k != "lines"]
+        steps = [f"{k}:{sum(v > x for x in _STEPS)}" for k, v in self.shares.items() if k not in ("lines", "wide")]
         own = np.array([TRIGRAMS + xxhash.xxh32_intdigest(k, 2) % (DIMENSIONS - TRIGRAMS) for k in steps])
         shares = np.ones(len(own), np.float32)
         if len(self.data) < 3:
@@ -209,7 +211,7 @@ def fit(df: DataFrame, sample_docs: int = 4000, text: str = "text") -> QualityMo
             yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, v)) for v, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64())], ["votes", "h"])
 
     voted = write_table(body.mapInArrow(vote, "votes string, h long").groupBy("votes", "h").agg(F.count("*").alias("n")), "votes")
-    patterns = voted.groupBy("votes").agg(F.sum("n")).collect()  # 3 to the number of labellers at most
+    patterns = sorted(voted.groupBy("votes").agg(F.sum("n")).collect())  # 3 to the number of labellers at most
     if not patterns:
         return QualityModel(np.zeros(DIMENSIONS, np.float32), 1.0, {}, {}, 1.0)
     votes, counts = np.array([[int(v) for v in r.votes] for r in patterns]), np.array([r[1] for r in patterns], np.float64)

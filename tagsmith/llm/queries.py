@@ -51,12 +51,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
-#: Of the queries; a real run takes its own from where secrets are kept.
-PII_KEY = "queries"
+#: Of the queries; a real run sets its own, from where secrets are kept, as KEY_SETTING.
+PII_KEY, KEY_SETTING = "queries", "spark.tagsmith.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or PII_KEY
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return pii.replace_pii(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

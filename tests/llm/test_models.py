@@ -11,9 +11,12 @@ import pytest
 
 import corpus_pipeline
 from conftest import DATA
+from test_dedup import dedup_by_hand, near_by_hand
+from tokenizers import Tokenizer
+
 from tagsmith.llm import fingerprint, language, pii, quality
 from tagsmith.llm.common import quotas
-from tagsmith.llm.queries import QUERIES
+from tagsmith.llm.queries import QUERIES, vocabulary
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -347,20 +350,61 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         if name != "packing":
-            assert out.columns == corpus_pipeline.COLUMNS
+            assert out.columns == docs.columns == corpus_pipeline.COLUMNS
             rows = {r.doc_id: r for r in out.collect()}
             before = {r.doc_id: r for r in docs.collect()}
             assert set(rows) <= set(before)
             if name in ("quality classifier", "n-gram Jaccard join"):  # texts stay as they are
                 assert all(rows[i] == before[i] for i in rows)
+            text = {i: r.text for i, r in before.items()}
+            if name == "quality classifier":
+                model = quality.fit(docs)
+                assert set(rows) == {i for i, t in text.items() if model.score(quality.Measures.of(t)) >= 0.5}
+            if name == "line dedup":
+                own = dedup_by_hand(sorted(text.items()))
+                assert all((rows[i].text, rows[i].n_chars) == (own[i][0][0], len(own[i][0][0])) for i in rows)
+            if name == "n-gram Jaccard join":
+                ids = sorted(text)
+                classes = near_by_hand([(i, text[i]) for i in ids])[0]
+                assert set(rows) == {min(i for i, d in zip(ids, classes, strict=True) if d == c) for c in set(classes)}
             if name == "PII":
                 assert set(rows) == set(before) and not any(re.search(r"\+1 \(\d{3}\) 555-", r.text) for r in rows.values())
+            if name == "PII":
+                assert all(rows[i].text == text[i] for i in rows if not _own_finder(text[i]) and not re.search("[0-9]", text[i]))
+                assert not [x for i in rows for _, x in _own_finder(text[i]) if x in rows[i].text]
+        else:
+            tok, got = Tokenizer.from_file(vocabulary()), {}
+            for r in out.collect():
+                got.setdefault(r.doc_id, []).append(r)
+                assert r.offset + r.length <= 1024
+            for r in docs.collect():
+                ids = np.array([*tok.encode(r.text, add_special_tokens=False).ids, 0], "<u4")
+                pieces = sorted(got.pop(r.doc_id), key=lambda p: p.start)
+                assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))] and {p.doc_tokens for p in pieces} == {len(ids)}
+                assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in pieces)
+            assert not got
         docs = spark.createDataFrame(out.collect(), out.schema)
         seen.append(docs.count())
     assert seen[1] < seen[0] and seen[2] == seen[1] and seen[3] < seen[2] and seen[4] == seen[3]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "PII", "packing"]
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Further columns with clashing names go through, also without lang, source and n_chars."""
+    prose = " ".join("The house is on the hill and it was built for a family that lives in the town.".split() * 3)
+    rows = [(i, f"{prose} No {i} of all is by Mr. Abel Kane.", f"k{i}", i, None) for i in range(40)]
+    rows += [(50, None, "null", 1, None), (51, "", "empty", 1, None), (52, "!!!! ### " * 20_000, "long", 1, None), (3, rows[3][1], "again", 1, None), (None, rows[4][1], "no id", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, part int, score double").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = {r.kept: r for r in docs.collect()}
+    assert "null" not in kept and "empty" not in kept and "k0" in kept and "Abel" not in kept["k0"].text and kept["k0"].part == 0
+    docs.select("doc_id", "text").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() >= 1
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0

@@ -10,6 +10,7 @@ estimated from the smallest hashes of both together: 1 for equal texts, about 2/
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ class _Powers:
                     step = np.uint64(pow(base, len(table[k]), p))
                     table[k] = np.concatenate([table[k], table[k] * step % np.uint64(p)])
 
+    def trim(self, most: int = 1 << 20) -> None:
+        """After a very long text its powers go, as a worker lives on."""
+        if len(self.up[0]) > most:
+            self.up, self.down = ([x[:most].copy() for x in table] for table in (self.up, self.down))
+
 
 _POWERS = _Powers()
 
@@ -178,7 +184,7 @@ def _part(column, bounds: list[int]):
     above = lambda xs: F.size(F.filter(xs, lambda x: x > column))
     coarse = above(F.array(*(F.lit(x) for x in down[step - 1 :: step]))) if len(down) >= step else F.lit(0)
     fine = above(F.slice(F.array(*(F.lit(x) for x in down)), coarse * step + 1, step))
-    return F.when(column.isNull(), F.lit(len(down))).otherwise(coarse * step + fine)
+    return coarse * step + fine
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -186,27 +192,32 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
     edited_fingerprint, near_edited, near_next, common_edited and common_next (code points that the text shares from the
     start with its edit and with the next text).
 
-    The next document is the next smaller doc_id (rows without one come last; rows of the same doc_id by text,
-    descending); after the last comes the first, and a single row follows itself. Null text: as an empty one. Other
-    columns are left out. Texts are dealt by ranges of doc_id once; each range gets a copy of the next one's first row,
+    The next document is the next smaller doc_id (rows without one come last, by a hash of their text and then the text,
+    descending; rows of the same doc_id by text, descending); after the last comes the first, and a single row follows itself. Null text: as an empty one. Other
+    columns are left out. Texts are dealt by ranges of doc_id once, and those without one by ranges of their hash; each range gets a copy of the next one's first row,
     so no task waits for another and none sees more than its range."""
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = rows.filter(F.col("doc_id").isNotNull())
+    n, without = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    more = math.ceil(parts * without / n) if without else 0  # ranges of rows without a doc_id
+    down = F.lit(0.5) - F.xxhash64("text").cast("double") / float(1 << 64)  # 0 for the largest hash, 1 for the smallest
+    rows = rows.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
     bounds = sorted({int(x) for x in known.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    dealt = rows.withColumn("part", _part(F.col("doc_id"), bounds).cast("int"))
-    heads = write_table(dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("head")), "heads")
+    nameless = F.lit(len(bounds) + 1) + F.least(F.floor(down * more), F.lit(max(0, more - 1)))
+    dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), nameless).otherwise(_part(F.col("doc_id"), bounds)).cast("int"))
+    heads = write_table(dealt.groupBy("part").agg(F.max(F.struct("doc_id", "h", "text")).alias("head")), "heads")
     there = sorted(r.part for r in heads.select("part").collect())
     if there:
         before = spark.createDataFrame([(p, there[i - 1]) for i, p in enumerate(there)], "part int, goes_to int")
-        ghosts = heads.join(F.broadcast(before), "part").select("head.doc_id", "head.text", F.col("goes_to").alias("part"), F.lit(True).alias("ghost"))
+        ghosts = heads.join(F.broadcast(before), "part").select("head.doc_id", "head.text", "head.h", F.col("goes_to").alias("part"), F.lit(True).alias("ghost"))
         dealt = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
     else:
         dealt = dealt.withColumn("ghost", F.lit(False))
     # each range has a task of its own: by a hash of the part, some tasks would get several
-    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    ordered = dealt.repartitionById(parts + more, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()).drop("h")
 
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_edited", pa.int64()), ("common_next", pa.int64())]
 
@@ -219,6 +230,7 @@ def fingerprint_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_
                 if here is not None and here[1] == part:
                     out.append(_compared(here[0], here[2], doc))
                 here = None if ghost else (i, part, doc)
+                _POWERS.trim()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long")

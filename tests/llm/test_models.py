@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from conftest import DATA
@@ -177,6 +178,16 @@ def test_fingerprints_of_few_rows(spark):
     assert fingerprint.fingerprint_documents(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    """They are dealt over several ranges, in the order of their hashes."""
+    named, nameless = [(i, f"named {i}") for i in range(20)], [f"text {i} without an id" for i in range(60)]
+    out = fingerprint.fingerprint_documents(frame(spark, named + [(None, t) for t in nameless])).collect()
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = [t for _, t in sorted(named, reverse=True)] + sorted(nameless, key=lambda t: (signed(t), t), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest() for t, nxt in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in out) == want
+
+
 def test_likeness_is_near_the_true_share():
     rng = random.Random(8)
     for _ in range(30):

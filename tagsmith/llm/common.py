@@ -117,6 +117,23 @@ def smallest_hashes(table: DataFrame, n: int, even: float) -> list[tuple[str, in
     return [(k, h) for k in sorted(of) for h in sorted(of[k])[: own[k]]]
 
 
+#: Bits of the filter that likely() sends to all tasks: 8 MB at most, whatever the tables' sizes.
+FILTER_BITS = 1 << 26
+
+
+def likely(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of df whose keys (nulls are equal) are among wanted's, and of all others about one in FILTER_BITS / (rows of
+    wanted): a filter before an exact join, that keeps what can't match from being shuffled."""
+    bucket, bits, place = (free_name(df, n) for n in ("bucket", "bits", "place"))
+    at = (F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)) + 1).alias(place)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = wanted.select(at).select(F.bitmap_bucket_number(place).alias(bucket), F.bitmap_bit_position(place).alias(place))
+    sets = places.repartition(n, bucket).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
+    own = df.withColumn(place, at).withColumn(bucket, F.bitmap_bucket_number(place)).withColumn(place, F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return own.join(F.broadcast(sets), bucket).filter(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({place} % 8 as int))")) != 0).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have yet, whatever its case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

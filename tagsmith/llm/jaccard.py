@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagsmith.llm.common import free_name, ship, slices, write_table
+from tagsmith.llm.common import free_name, likely, ship, slices, write_table
 from tagsmith.llm.components import connected_components
 
 BANDS, ROWS = 24, 4
@@ -146,9 +146,14 @@ def _sigs(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
+def _texts(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    own = F.col(f"`{text}`")
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("h"), own.alias("text"))
+
+
 def sketches(df: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """row, doc_id, n (shingles), d1 and d2 (digest of the set; of the text, if it has no word), sig."""
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())]
+    """row, doc_id, h (hash of the text), n (shingles), d1 and d2 (digest of the set; of the text, if it has no word), sig."""
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -160,10 +165,10 @@ def sketches(df: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
                 d1.append(a)
                 d2.append(b)
                 sig.append(signature(s).astype("<u2").tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(x, k) for x, (_, k) in zip((n, d1, d2, sig), fields[2:], strict=True))], [f for f, _ in fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "h")), *(pa.array(x, k) for x, (_, k) in zip((n, d1, d2, sig), fields[3:], strict=True))], [f for f, _ in fields])
 
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return write_table(rows.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, sig binary"), "sketches")
+    rows = _texts(df, text, doc_id).select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "text")
+    return write_table(rows.mapInArrow(run, "row long, doc_id long, h long, n long, d1 long, d2 long, sig binary"), "sketches")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -232,10 +237,11 @@ def _spread(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def verified(df: DataFrame, members: DataFrame, threshold: float, limits: tuple[int, ...], width: int, text: str, doc_id: str) -> DataFrame:
-    """members: rep, rep_doc, d1, d2, sig, cluster, nb. Returns rep, links, root and nb: how many representatives its
+    """members: rep, rep_doc, h, d1, d2, sig, cluster, nb. Returns rep, links, root and nb: how many representatives its
     block pair has that it links with, and the smallest that it hangs together with in it."""
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = rows.join(members, rows.doc_id.eqNullSafe(members.rep_doc)).select("text", "rep", "d1", "d2", "sig", "cluster", "nb")
+    own = members.withColumnsRenamed({"rep_doc": "own_doc", "h": "own_h"})
+    rows = likely(_texts(df, text, doc_id), ["doc_id", "h"], members.select(F.col("rep_doc").alias("doc_id"), "h"))
+    texts = rows.join(own, rows.doc_id.eqNullSafe(own.own_doc) & (rows.h == own.own_h)).select("text", "rep", "d1", "d2", "sig", "cluster", "nb")
     names = ["rep", "sig", "cluster", "nb"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +322,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, width: int = 5, toler
     ship(df.sparkSession)
     limits = least_matches(threshold, tolerance)
     sk = sketches(df, width, text, doc_id)
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("h"))
     reps = sk.groupBy("d1", "d2").agg(F.min(who).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = write_table(reps.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("rep_doc"), "d1", "d2", "n", "sig"), "representatives")
+    reps = write_table(reps.select(F.col("best.row").alias("rep"), F.col("best.doc_id").alias("rep_doc"), F.col("best.h").alias("h"), "d1", "d2", "n", "sig"), "representatives")
     clusters = connected_components(candidate_edges(reps.filter("n > 0"), limits, block)).withColumnsRenamed({"node": "rep", "root": "cluster"})
     members = write_table(clusters.join(reps, "rep"), "clusters")
     loads = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n") / F.lit(block_bytes))).cast("int").alias("nb"))

@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tagsmith.llm import exact_dedup, jaccard, line_dedup
+from tagsmith.llm import common, exact_dedup, jaccard, line_dedup
 from tagsmith.llm.components import connected_components
 from tagsmith.llm.cuckoo import CuckooFilter, Full
 from tagsmith.llm.queries import ORACLES, QUERIES
@@ -174,6 +175,37 @@ def test_near_repeated_and_missing_ids(spark):
     assert out == sorted([("5", "5", True), ("5", "5", False), ("None", "5", False), ("None", "None", True), ("7", "7", True)])
 
 
+def test_near_many_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in (0, 39) for _ in range(30)] + [(None, None), (None, ""), (4, " ".join(base))]
+    out = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sum(r.kept for r in out) == 2 and len(out) == len(rows)  # null and empty are copies
+    # two texts of 36 shingles, 35 of them of the whole and 34 of each other
+    assert {(r.class_id, r.n_links) for r in out if r.n_shingles} == {(4, 2)} and {r.n_links for r in out if not r.n_shingles} == {0}
+
+
+def test_likely_keeps_all_that_are_wanted_and_few_others(spark):
+    df = spark.range(50_000).select((F.col("id") - 25_000).alias("k"), F.lit(None).cast("string").alias("bits"), F.col("id").cast("string").alias("x"))
+    for wanted in (df.limit(0).select("k", "x"), df.filter("k % 50 = 0").select("k", "x"), df.filter("k = 7").select("k", F.lit(None).cast("string").alias("x"))):
+        rows = df.withColumn("x", F.when(F.col("k") != 7, F.col("x")))
+        found, there = common.likely(rows, ["k", "x"], wanted), wanted.count()
+        assert found.columns == df.columns and there <= found.count() <= 1.05 * there + 1
+        assert wanted.join(found, wanted.k.eqNullSafe(found.k) & wanted.x.eqNullSafe(found.x), "left_anti").filter("k != 7 OR x IS NULL").count() == 0
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+
+
+def test_near_texts_move_only_if_they_may_match(spark):
+    rows = near_rows()
+    plan = []
+    was = jaccard.likely
+    jaccard.likely = lambda df, keys, wanted: plan.append((df.count(), (out := was(df, keys, wanted)).count())) or out
+    try:
+        jaccard.near_duplicates(frame(spark, rows + [(5000 + i, " ".join(f"u{i}x{k}" for k in range(20))) for i in range(500)])).collect()
+    finally:
+        jaccard.likely = was
+    assert plan[0][0] == len(rows) + 500 and plan[0][1] <= len(rows)
+
+
 def test_pruning_keeps_what_can_still_reach_the_threshold():
     limits = jaccard.least_matches(0.8, 1e-7)
     assert all(0 < m < n for m, n in zip(limits, jaccard.STEPS, strict=True)) and list(limits) == sorted(limits)

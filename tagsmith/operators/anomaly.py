@@ -278,10 +278,17 @@ CLASSIFIERS = {
 }
 
 
+def _repeated(df: DataFrame, n: str, piece: int = 100_000) -> DataFrame:
+    """Each row n times. A row that counts for many goes out in pieces, which many tasks repeat."""
+    parts = df.withColumn("__part", F.explode(F.sequence(F.lit(0), F.expr(f"({n} - 1) div {piece}"))))
+    parts = parts.withColumn(n, F.least(F.lit(piece), F.col(n) - F.col("__part") * piece))
+    return parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("__part", F.explode(F.sequence(F.lit(1), F.col(n)))).drop("__part", n)
+
+
 class SupervisedClassifierAnomaly(Scorer):
     """classifier: its name, with or without the module. Truth {clean, bad} or {0, 1} gives the probability of bad; any
-    other truth gives the predicted value in the column predicted, and as the score its index in sorted order. Classifiers
-    don't continue: with a base, too, fit() learns from the rows that it is given."""
+    other truth gives the predicted value in the column predicted, and as the score its index in sorted order. The model
+    keeps how many rows have each set of labels and truth; with a base, fit() learns from the base's rows and the new ones."""
 
     def __init__(self, ground_truth_column: str, classifier: str, **arguments):
         self.truth, self.name = ground_truth_column, classifier.rpartition(".")[2]
@@ -296,32 +303,40 @@ class SupervisedClassifierAnomaly(Scorer):
         from pyspark.ml import classification
         from pyspark.ml.feature import CountVectorizerModel
 
-        labels = vocabulary(label_sets(df, distinct=True)) or [""]
-        values = [r[0] for r in bounded(df.select(F.col(f"`{self.truth}`").cast("string").alias("v")).filter("v IS NOT NULL").distinct().orderBy("v"), 1000)]
+        examples = df.select(F.array_distinct(sorted_labels()).alias("key"), F.col(f"`{self.truth}`").cast("string").alias("truth"), F.lit(1).cast("long").alias("n"))
+        if base is not None:
+            examples = examples.unionByName(base.tables["examples"])
+        examples = kept(examples.groupBy("key", "truth").agg(F.sum("n").alias("n")), "examples")
+        labels = vocabulary(examples) or [""]
+        values = [r.truth for r in bounded(examples.select("truth").filter("truth IS NOT NULL").distinct().orderBy("truth"), 1000)]
         binary = set(values) <= {"clean", "bad"} or set(values) <= {"0", "1"}
         classes = (["clean", "bad"] if set(values) <= {"clean", "bad"} else ["0", "1"]) if binary else values
-        index = F.array_position(F.array(*map(F.lit, classes)), F.col(f"`{self.truth}`").cast("string")) - 1
+        index = F.array_position(F.array(*map(F.lit, classes)), F.col("truth")) - 1
         vector = CountVectorizerModel.from_vocabulary(labels, inputCol="__key", outputCol="__x", minTF=1.0)
         vector.setBinary(True)
-        own = df.select(sorted_labels().alias("__key"), index.cast("double").alias("__y")).filter("__y >= 0")
+        own = examples.select(F.col("key").alias("__key"), index.cast("double").alias("__y"), F.col("n").alias("__n")).filter("__y >= 0")
         ml, names = CLASSIFIERS[self.name]
         arguments = {names[k]: v for k, v in self.arguments.items() if names[k]}
         if ml == "LogisticRegression":
-            arguments |= {"standardization": False, "regParam": 1 / (float(self.arguments.get("C", 1.0)) * max(1, own.count()))}
+            arguments |= {"standardization": False, "regParam": 1 / (float(self.arguments.get("C", 1.0)) * max(1, own.agg(F.sum("__n")).first()[0] or 0))}
         elif self.name == "BernoulliNB":
             arguments["modelType"] = "bernoulli"
         elif ml == "MultilayerPerceptronClassifier":
             hidden = self.arguments.get("hidden_layer_sizes", (100,))
             arguments["layers"] = [len(labels), *((hidden,) if isinstance(hidden, int) else hidden), max(2, len(classes))]
+        if ml in ("RandomForestClassifier", "MultilayerPerceptronClassifier"):  # these draw rows, or know no weights
+            own = _repeated(own, "__n")
+        else:
+            arguments["weightCol"] = "__n"
         model = getattr(classification, ml)(featuresCol="__x", labelCol="__y", predictionCol="__p", probabilityCol="__prob", rawPredictionCol="__raw", **arguments).fit(vector.transform(own))
-        return SupervisedModel({"labels": labels, "classes": classes, "binary": binary, "ml": ml}, model=model)
+        return SupervisedModel({"labels": labels, "classes": classes, "binary": binary, "ml": ml}, {"examples": examples}, model)
 
 
 class SupervisedModel(ScorerModel):
     kind = "SupervisedClassifierAnomaly"
 
     def __init__(self, params: dict, tables: dict | None = None, model=None):
-        self.params, self.model = params, model
+        self.params, self.tables, self.model = params, tables or {}, model
 
     def score(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import CountVectorizerModel

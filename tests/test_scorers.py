@@ -98,3 +98,20 @@ def test_supervised_classes(spark):
     for bad in ({"classifier": "Oracle"}, {"classifier": "BernoulliNB", "depth": 3}):
         with pytest.raises(ValueError):
             anomaly.SupervisedClassifierAnomaly("status", **bad)
+
+
+@pytest.mark.parametrize("classifier", ["LogisticRegression", "BernoulliNB", "DecisionTreeClassifier"])
+def test_supervised_fits_continue(spark, classifier):
+    rng = random.Random(8)
+    rows = [(i, [x for x in "ABCD" if rng.random() < 0.5], rng.choice(["clean", "bad"] if i % 9 else [None])) for i in range(300)]
+    df = spark.createDataFrame([(i, s, [], "bad" if t and "A" in s and i % 5 else t) for i, s, t in rows], "i int, labels array<string>, bonus array<double>, truth string")
+    scorer = anomaly.SupervisedClassifierAnomaly("truth", classifier)
+    whole, parts = scorer.fit(df), scorer.fit(df.filter("i >= 120"), scorer.fit(df.filter("i < 120")))
+    assert sum(r.n for r in parts.tables["examples"].collect()) == 300
+    want = [r.score for r in whole.score(df).orderBy("i").collect()]
+    assert [r.score for r in parts.score(df).orderBy("i").collect()] == pytest.approx(want, abs=1e-6)
+
+
+def test_repeated_rows_in_pieces(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 3)], "k string, n long")
+    assert {r.k: r[1] for r in anomaly._repeated(df, "n", piece=3).groupBy("k").count().collect()} == {"a": 7, "b": 1, "c": 3}

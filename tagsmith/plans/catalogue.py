@@ -503,7 +503,27 @@ def _scored_events(spark, sf, **scorer) -> DataFrame:
     return rounded(events_model(e, **scorer).transform(e).select("event_id", joined(), "score"))
 
 
-@query()
+def directions_sql(k: int) -> str:
+    """After EVENT_LABELS (WITH RECURSIVE): hot (key, n, x: labels as 0 and 1) and v1 to vk, the leading directions: squares
+    of the Gram matrix tend to the first one's projection, and what is left without it gives the next."""
+    scaled = "list_transform(m, lambda r: list_transform(r, lambda c: c / list_sum(list_transform(m, lambda q, i: q[i]))))"
+    square = "list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c)))"
+    parts = []
+    for j in range(1, k + 1):
+        parts.append(f"""
+p{j} AS (SELECT 0 AS t, {scaled} AS m FROM (SELECT g AS m FROM g{j}) UNION ALL SELECT t + 1, {scaled} FROM (SELECT t, {square} AS m FROM p{j} WHERE t < 40)),
+v{j} AS (SELECT list_transform(r, lambda c: c / sqrt(list_dot_product(r, r))) AS v FROM (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, list_transform(m, lambda q, i: q[i]) AS d FROM p{j} WHERE t = 40))),
+g{j + 1} AS (SELECT list_transform(g, lambda r, a: list_transform(r, lambda c, b: c - v[a] * v[b] * e)) AS g FROM (SELECT g, v, list_dot_product(v, list_transform(g, lambda r: list_dot_product(r, v))) AS e FROM g{j}, v{j}))""")
+    return f"""
+voc AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT DISTINCT unnest(labels) AS label FROM labels)),
+hot AS (SELECT key, n, list_transform(every, lambda l: CASE WHEN list_contains(key, l) THEN 1.0::DOUBLE ELSE 0 END) AS x
+  FROM (SELECT list_sort(list_distinct(labels)) AS key, count(*) AS n FROM labels GROUP BY 1), (SELECT list(label ORDER BY i) AS every FROM voc)),
+g1 AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(s ORDER BY j) AS r FROM (SELECT a.i AS i, b.i AS j, sum(n * x[a.i] * x[b.i]) AS s FROM hot, voc a, voc b GROUP BY ALL) GROUP BY i)),{",".join(parts)}"""
+
+
+@query(f"""WITH RECURSIVE {EVENT_LABELS}, {directions_sql(4)}
+SELECT event_id, array_to_string(labels, '|') AS labels, round(sqrt(greatest(0, list_dot_product(x, x) - {" - ".join(f"list_dot_product(x, v{j}.v) ** 2" for j in range(1, 5))})), 6) AS score
+FROM labels JOIN hot ON list_sort(list_distinct(labels)) = key, v1, v2, v3, v4""")
 def svd_reconstruction(spark, sf):
     return _scored_events(spark, sf, scorer="SVDAnomaly")
 

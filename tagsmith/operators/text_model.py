@@ -1,26 +1,43 @@
 """TextField: how unlikely a text's n-grams are.
 
 Each text is looked at once however often it occurs: n-grams are counted, and perplexities computed, over distinct texts
-with their weights.
+with their weights. Where the vocabulary has a place on the driver and n-grams in 63 bits (characters and orders up to five:
+6204 of them), both are done on numbers in Arrow batches; else by expressions and joins, with the same results.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagsmith.functions import grams as numbered
+from tagsmith.functions.grams import UNSEEN, Grams, Terms
 from tagsmith.functions.text import BEGIN, BETWEEN, END, UNKNOWN, ngrams, tokenized
 from tagsmith.operators.base import Generator, GeneratorModel, result, weight_of
 from tagsmith.sources.store import TooLarge, bounded, kept
 
-#: -ln(1e-8): what an n-gram that isn't known adds. A token must occur more often than RARE to be kept.
-UNSEEN, RARE = -math.log(1e-8), 2
+#: A token must occur more often than RARE to be kept.
+RARE = 2
 #: Tokens up to which the vocabulary is a literal of the plan.
 LITERAL = 2000
 #: Bytes up to which the table of n-grams is sent to all tasks.
 BROADCAST = 128 << 20
+#: N-grams that a task looks up at once; of more, each pass over the texts takes a part.
+LOOKUP = 3_000_000
+
+# tasks may run where this package isn't
+cloudpickle.register_pickle_by_value(numbered)
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches that suit long texts, unless the session has limits of its own."""
+    for name, limit in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(limit))
 
 
 def texts_of(df: DataFrame, field: str, weight: str | None) -> DataFrame:
@@ -29,8 +46,21 @@ def texts_of(df: DataFrame, field: str, weight: str | None) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, mode: str) -> DataFrame:
-    each = texts.select(F.explode(tokenized(F.col("t"), mode)).alias("token"), "w")
-    return each.groupBy("token").agg(F.sum("w").alias("n")).filter(F.col("n") > RARE).select("token")
+    if mode == "char":
+        _small_batches(texts.sparkSession)
+        each = texts.filter("w IS NOT NULL").select("t", "w").mapInArrow(numbered.character_counts, "token string, n long")
+    else:
+        each = texts.select(F.explode(tokenized(F.col("t"), mode)).alias("token"), F.col("w").alias("n"))
+    return each.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > RARE).select("token")
+
+
+def grams_of(vocab: DataFrame, mode: str, low: int, high: int) -> Grams | None:
+    """n-grams as numbers, if they can be."""
+    try:
+        own = Grams(sorted(r.token for r in bounded(vocab)), mode, low, high)
+    except TooLarge:
+        return None
+    return own if own.fits() else None
 
 
 def mapped(texts: DataFrame, vocab: DataFrame, mode: str) -> DataFrame:
@@ -54,13 +84,51 @@ def _hashes(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
 
 
-def ngram_counts(items: DataFrame, low: int, high: int) -> DataFrame:
-    return items.select(F.explode(ngrams(F.col("items"), low, high)).alias("gram"), "w").groupBy("gram").agg(F.sum("w").alias("n"))
+def _looked_at(texts: DataFrame, mode: str, *columns: str) -> DataFrame:
+    _small_batches(texts.sparkSession)
+    return texts.select(F.col("t") if mode == "char" else tokenized(F.col("t"), mode).alias("t"), *columns)
+
 
+def ngram_counts(texts: DataFrame, vocab: DataFrame, mode: str, low: int, high: int, base: DataFrame | None = None) -> DataFrame:
+    """gram and n, those of base added; key too, where n-grams are numbers."""
+    grams = grams_of(vocab, mode, low, high)
+    if grams is None:
+        table = mapped(texts, vocab, mode).select(F.explode(ngrams(F.col("items"), low, high)).alias("gram"), F.col("w").alias("n"))
+        return (table if base is None else table.unionByName(base.select("gram", "n"))).groupBy("gram").agg(F.sum("n").alias("n"))
+    longest = _looked_at(texts.filter("w IS NOT NULL"), mode, "w").mapInArrow(grams.counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    prefixes = F.array(*(F.expr(f"key div {grams.base**k}L") for k in range(high - low + 1)))
+    table = longest.select(F.explode(F.filter(prefixes, lambda x: x >= grams.least(low))).alias("key"), "n")
+    if base is not None:
+        table = table.unionByName(base.select("gram", "n").mapInArrow(grams.numbers, "key long, n long"))
+    return table.groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(grams.names, "gram string, n long, key long")
 
-def perplexities(items: DataFrame, table: DataFrame, low: int, high: int) -> DataFrame:
+
+def perplexities(texts: DataFrame, vocab: DataFrame, table: DataFrame, mode: str, low: int, high: int) -> DataFrame:
     """a, b, w, perplexity: the mean over a text's n-grams of 1 / (ln(count) + 1), or UNSEEN; null without n-grams."""
+    grams = grams_of(vocab, mode, low, high)
+    if grams is None:
+        return _joined_perplexities(mapped(texts, vocab, mode), table, low, high)
+    _small_batches(texts.sparkSession)
+    known = table.select("key", "n") if "key" in table.columns else table.select("gram", "n").mapInArrow(grams.numbers, "key long, n long")
+    known = known.filter("n IS NOT NULL")
+    parts = max(1, math.ceil(known.count() / LOOKUP))
+    # an n-gram and its prefixes are in one part
+    first = reduce(lambda rest, k: F.when(F.col("key") < grams.least(k + 1), F.expr(f"key div {grams.base ** (k - low)}L")).otherwise(rest), range(high - 1, low - 1, -1), F.expr(f"key div {grams.base ** (high - low)}L"))
+    each = _looked_at(texts.select(*_hashes(F.col("t")), "t", "w"), mode, "a", "b", "w")
+    sums = [_sums(each, known.filter(first % parts == i) if parts > 1 else known, grams, i, parts) for i in range(parts)]
+    own = sums[0] if parts == 1 else reduce(DataFrame.unionByName, sums).groupBy("a", "b").agg(F.first("w").alias("w"), F.sum("total").alias("total"), F.sum("size").alias("size"))
+    return own.select("a", "b", "w", F.when(F.col("size") > 0, F.col("total") / F.col("size")).alias("perplexity"))
+
+
+def _sums(texts: DataFrame, known: DataFrame, grams: Grams, part: int, parts: int) -> DataFrame:
+    rows = known.toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast(numbered.terms(grams, *(rows[c].to_numpy() for c in ("key", "n"))))
+    return texts.mapInArrow(lambda batches: Terms(grams, *shared.value).sums(batches, part, parts), "a long, b long, w long, total double, size long")
+
+
+def _joined_perplexities(items: DataFrame, table: DataFrame, low: int, high: int) -> DataFrame:
     term = F.when(F.col("n").isNull(), UNSEEN).otherwise(1 / (F.ln("n") + 1))
+    table = table.select("gram", "n")
     each = items.select("a", "b", F.explode(ngrams(F.col("items"), low, high)).alias("gram"))
     size = table.agg(F.sum(F.octet_length("gram") + 32)).first()[0] or 0
     if size <= BROADCAST:  # then n-grams are looked up where their text is, and only sums move
@@ -80,22 +148,19 @@ class TextField(Generator):
 
     def fit(self, df: DataFrame, weight: str | None = None, base: GeneratorModel | None = None) -> TextModel:
         p = self.params
-        texts = texts_of(df, p["field"], weight)
+        texts = kept(texts_of(df, p["field"], weight), "texts")
         vocab = vocabulary(texts, p["mode"])
         if base is not None:
             vocab = vocab.unionByName(base.tables["vocabulary"]).distinct()
         vocab = kept(vocab, "vocabulary")
-        items = mapped(texts, vocab, p["mode"])
-        table = ngram_counts(items, p["low"], p["high"])
-        if base is not None:
-            table = table.unionByName(base.tables["ngrams"]).groupBy("gram").agg(F.sum("n").alias("n"))
-        table = kept(table, "ngrams")
-        known = kept(perplexities(items, table, p["low"], p["high"]), "perplexities")
+        how = p["mode"], p["low"], p["high"]
+        table = kept(ngram_counts(texts, vocab, *how, base=None if base is None else base.tables["ngrams"]), "ngrams")
+        known = kept(perplexities(texts, vocab, table, *how), "perplexities")
         own = known.filter("perplexity IS NOT NULL")
         mean = own.agg((F.sum(F.col("w") * F.col("perplexity")) / F.sum("w")).alias("mean"))
         square = F.sum(F.col("w") * F.pow(F.col("perplexity") - F.col("mean"), 2))
         spread = own.crossJoin(F.broadcast(mean)).agg(F.first("mean").alias("mean"), F.sqrt(F.try_divide(square, F.sum("w"))).alias("std"))  # one row
-        return TextModel(p, {"vocabulary": vocab, "ngrams": table, "spread": kept(spread, "spread"), "known": known.select("a", "b", "perplexity")})
+        return TextModel(p, {"vocabulary": vocab, "ngrams": table.select("gram", "n"), "spread": kept(spread, "spread"), "known": known.select("a", "b", "perplexity")})
 
 
 class TextModel(GeneratorModel):
@@ -111,15 +176,21 @@ class TextModel(GeneratorModel):
     def perplexities(self, df: DataFrame) -> DataFrame:
         """a, b and perplexity of all texts of df, and of those that the model was fitted on, which aren't looked at anew."""
         known = self.tables["known"]
-        a, b = _hashes(F.col("t"))
-        new = texts_of(df, self.field, None).join(known, (a == known.a) & (b == known.b), "left_anti")
-        found = perplexities(mapped(new, self.tables["vocabulary"], self.params["mode"]), self.tables["ngrams"], self.params["low"], self.params["high"])
-        return known.unionByName(found.select("a", "b", "perplexity"))
+        t = F.coalesce(F.col(f"`{self.field}`").cast("string"), F.lit("None"))
+        a, b = _hashes(t)
+        # texts move only if there are new ones
+        new = kept(df.select(a, b).distinct().join(known, ["a", "b"], "left_anti"), "new")
+        if new.isEmpty():
+            return known
+        p = self.params
+        texts = kept(texts_of(df.select(a, b, t.alias(self.field)).join(new, ["a", "b"], "left_semi"), self.field, None), "texts")
+        return known.unionByName(perplexities(texts, self.tables["vocabulary"], self.tables["ngrams"], p["mode"], p["low"], p["high"]).select("a", "b", "perplexity"))
 
     def attach(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
         own = self.perplexities(df).select(F.col("a").alias(f"{tag}a"), F.col("b").alias(f"{tag}b"), F.col("perplexity").alias(f"{tag}p"))
         a, b = _hashes(F.coalesce(F.col(f"`{self.field}`").cast("string"), F.lit("None")))
-        df = df.join(own, (a == F.col(f"{tag}a")) & (b == F.col(f"{tag}b")), "left")
+        # hashes as columns, as the text itself needn't move then
+        df = df.withColumns({f"{tag}x": a, f"{tag}y": b}).join(own, (F.col(f"{tag}x") == F.col(f"{tag}a")) & (F.col(f"{tag}y") == F.col(f"{tag}b")), "left")
         df = df.crossJoin(F.broadcast(self.tables["spread"].select(F.col("mean").alias(f"{tag}mean"), F.col("std").alias(f"{tag}std"))))  # one row
         return df, self.labelled(F.col(f"{tag}p"), F.col(f"{tag}mean"), F.col(f"{tag}std"))
 

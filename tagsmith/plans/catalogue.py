@@ -17,7 +17,7 @@ from tagsmith.operators.knowledge import KeywordBased, KnowledgeBased, LOLField,
 from tagsmith.operators.labelsets import label_sets, sorted_labels, vocabulary
 from tagsmith.operators.multinomial import MultinomialField, MultinomialFieldCombiner, counts, with_shares
 from tagsmith.operators.numeric import NumericField, merged_stats, stats
-from tagsmith.operators.text_model import TextField, mapped, ngram_counts, texts_of
+from tagsmith.operators.text_model import TextField, ngram_counts, texts_of
 from tagsmith.operators.text_model import vocabulary as text_vocabulary
 from tagsmith.plans.autoconfig import field_kinds, suggest
 from tagsmith.plans.config import PipelineConfig
@@ -316,7 +316,7 @@ def text_vocab(spark, sf):
 @query(f"WITH {text_sql('documents', 'text', 'char')} SELECT g AS gram, n FROM model")
 def text_ngram_counts(spark, sf):
     texts = texts_of(table(spark, sf, "documents"), "text", None)
-    return ngram_counts(mapped(texts, text_vocabulary(texts, "char"), "char"), 3, 5).select("gram", "n")
+    return ngram_counts(texts, text_vocabulary(texts, "char"), "char", 3, 5).select("gram", "n")
 
 
 @query(f"WITH {perplexity_sql('part', 'p_name', 'char')} SELECT p_partkey, round(p, 6) AS perplexity, round(m, 6) AS mean, round(s, 6) AS std FROM part JOIN perplexity ON p_name = t, spread")

@@ -7,6 +7,8 @@ import pytest
 from tagsmith.operators.knowledge import KeywordBased, KnowledgeBased, LOLField, ObfuscationField, Platform, register_classifier
 from tagsmith.operators.multinomial import MultinomialField, MultinomialFieldCombiner, NumericalFieldCombiner
 from tagsmith.operators.numeric import NumericField
+from tagsmith.functions import grams as numbered
+from tagsmith.operators import text_model
 from tagsmith.operators.text_model import TextField
 from tagsmith.plans.pipeline import labelled
 
@@ -161,6 +163,46 @@ def test_text_model_by_hand(spark):
     assert empty.tables["spread"].first()["mean"] is not None or True
 
 
+def test_texts_are_not_expanded_into_ngrams(spark, monkeypatch):
+    def no(*_):
+        raise AssertionError("n-grams as strings")
+
+    monkeypatch.setattr(text_model, "ngrams", no)
+    df = spark.createDataFrame([(0, "aab"), (1, "aab b"), (2, None)], "i int, c string")
+    for mode in ("char", "token"):
+        labels(df, TextField("c", mode).fit(df))
+
+
+@pytest.mark.parametrize("mode,low,high", [("char", 3, 5), ("char", 1, 1), ("char", 1, 3), ("token", 2, 3), ("token", 3, 5)])
+def test_ngrams_as_numbers_and_as_strings_are_the_same(spark, monkeypatch, mode, low, high):
+    texts = ["aab", "aab", "a b aab b", "", None, "a", "zq🙂 aab\n", "\x01\x01a\x01\n\x01\x01", "<s></s>", "über über aab " * 9, "été b a b a\n" * 5, "None"]
+    weights = [1, 3, 1, 2, 1, 0, 1, 5, None, 1, 1 << 40, 1]
+    old = spark.createDataFrame(list(zip(texts, weights)), "c string, n long")
+    new = spark.createDataFrame([("aab über",), ("xyz",), ("",), (None,), ("b a b q " * 20,)], "c string")
+
+    def results():
+        first = TextField("c", mode, (low, high)).fit(old, "n")
+        second = TextField("c", mode, (low, high)).fit(new, base=first)
+        out = []
+        for m in (first, second):
+            out.append({r.gram: r.n for r in m.tables["ngrams"].collect() if r.n is not None})
+            out.append({(r.a, r.b): r.perplexity for r in m.perplexities(new).collect()})
+            out.append(m.tables["spread"].first().asDict())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(text_model, "grams_of", lambda *_: None)
+        m.setattr(numbered, "WINDOW", 1 << 20)
+        want = results()
+    whole = results()
+    for name, value in (("WINDOW", 7), ("PENDING", 10)):
+        monkeypatch.setattr(numbered, name, value)
+    monkeypatch.setattr(text_model, "LOOKUP", 9)
+    for got in (whole, results()):
+        for x, y in zip(want, got, strict=True):
+            assert x == pytest.approx(y)
+
+
 def test_command_plug_ins(spark):
     register_classifier("lol", lambda commands, platform: [("BAD" if "nc" in c else "NEUTRAL", [f"{platform}!"]) for c in commands])
     register_classifier("obfuscation", lambda commands, platform: [("^" in c, []) for c in commands])

@@ -49,6 +49,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order, and the sums of their counts."""
     order = np.argsort(keys)
     keys = keys[order]
+    # where a key is another than the one before
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts
 
@@ -76,12 +77,12 @@ def total(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.n
         yield summed(*(np.concatenate(x) for x in zip(*held)))
 
 
-def weighted(values: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """values, each of the row that rows gives, with their weights."""
-    if (weights == 1).all():
-        yield counted(values)
-    else:
-        yield summed(values, weights[rows])
+def weighted(values: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct values and the sums of their weights; most texts occur once, and are only sorted."""
+    once = weights == 1
+    yield counted(values[once])
+    if not once.all():
+        yield summed(values[~once], weights[~once])
 
 
 def character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +94,14 @@ def character_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for part in slices(texts):
                 raw, size = points(texts[part])
                 own = weights[part]
-                for s in range(0, len(raw), WINDOW):
-                    if (own == 1).all():
-                        n = np.bincount(raw[s : s + WINDOW])
-                        yield np.flatnonzero(n), n[n > 0]
-                    else:
-                        yield summed(raw[s : s + WINDOW].astype("i8"), np.repeat(own, size)[s : s + WINDOW])
+                ends = np.cumsum(size)
+                once = np.repeat(own == 1, size)
+                n = np.bincount(raw[once])
+                yield np.flatnonzero(n), n[n > 0]
+                rest = np.flatnonzero(~once)
+                for s in range(0, len(rest), WINDOW):
+                    at = rest[s : s + WINDOW]
+                    yield summed(raw[at].astype("i8"), own[np.searchsorted(ends, at, "right")])
 
     for keys, n in total(pairs()):
         yield pa.record_batch([pa.array([chr(k) for k in keys], pa.string()), pa.array(n, pa.int64())], ["token", "n"])
@@ -133,19 +136,20 @@ class Grams:
         return pc.fill_null(pc.add(found, first), 1).to_numpy(zero_copy_only=False), size
 
     def padded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digits of all texts with their marks, and where each text begins and ends."""
+        """Digits of all texts with their marks, and some at the end that don't count; where each text begins and ends."""
         digits, size = self._digits(column)
         pad = self.low - 1
         ends = np.cumsum(size + 2 * pad)
         starts = ends - size - 2 * pad
-        out = np.full(int(ends[-1]), 3, "i8")
-        out[np.arange(len(digits)) + np.repeat(pad * (2 * np.arange(len(size)) + 1), size)] = digits
+        out, own = np.full(int(ends[-1]) + self.high, 3, "i4"), np.ones(int(ends[-1]), bool)
         for k in range(pad):
             out[starts + k] = 2
+            own[starts + k] = own[ends - 1 - k] = False
+        out[: len(own)][own] = digits
         return out, starts, ends
 
     def _number(self, digits: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-        number = digits[at]
+        number = digits[at].astype("i8")
         for k in range(1, order):
             number = number * self.base + digits[at + k]
         return number
@@ -153,13 +157,12 @@ class Grams:
     def windows(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """The number of each position, the low tokens at which it begins as a number, and its row."""
         digits, starts, ends = self.padded(column)
-        longest = np.r_[digits, np.ones(self.high, "i8")]
-        for s in range(0, len(digits), WINDOW):
-            e = min(s + WINDOW, len(digits))
-            number = longest[s:e].copy()
+        for s in range(0, int(ends[-1]), WINDOW):
+            e = min(s + WINDOW, int(ends[-1]))
+            number = digits[s:e].astype("i8")
             first = number
             for k in range(1, self.high):
-                number = number * self.base + longest[s + k : e + k]
+                number = number * self.base + digits[s + k : e + k]
                 if k == self.low - 1:
                     first = number
             ok = np.ones(e - s, bool)
@@ -182,7 +185,7 @@ class Grams:
                 weights = batch.column(1).to_numpy(zero_copy_only=False)
                 for part in slices(batch.column(0)):
                     for number, _, rows in self.windows(batch.column(0)[part]):
-                        yield from weighted(number, rows, weights[part])
+                        yield from weighted(number, weights[part][rows])
 
         for keys, n in total(pairs()):
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])

@@ -197,7 +197,7 @@ def test_ngrams_as_numbers_and_as_strings_are_the_same(spark, monkeypatch, mode,
     whole = results()
     for name, value in (("WINDOW", 7), ("PENDING", 10)):
         monkeypatch.setattr(numbered, name, value)
-    monkeypatch.setattr(text_model, "LOOKUP", 9)
+    monkeypatch.setattr(text_model, "LOOKUP", 90)
     for got in (whole, results()):
         for x, y in zip(want, got, strict=True):
             assert x == pytest.approx(y)
